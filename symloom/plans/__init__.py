@@ -1,0 +1 @@
+"""Multi-operator plans: index build, incremental refresh, the query tools."""

@@ -1,0 +1 @@
+"""Structured Streaming wrappers around the incremental plans."""
