@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, toxicity
+from . import decontaminate, mixing, quality, secrets, simhash, toxicity
 from ._common import read_table
 
 
@@ -30,11 +30,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontaminate, op6_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontaminate, op6_simhash, op8_mixing, op9_secrets, op10_quality)}
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,3 +68,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BI
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(own.n, 0) >= 2 AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN own USING (r)
 """
+
+
+def _spans_sql() -> str:
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        good = f"length(regexp_extract_all(t, '{p}', {r.group})[i]) >= {r.least}"
+        parts.append(
+            f"SELECT r, {i} AS rank, '{r.kind}' AS kind, a AS s, a + length(m[i]) AS e FROM (SELECT r, t, m, i, "
+            f"list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a "
+            f"FROM (SELECT r, t, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, t, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM docs))) WHERE {good}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["op9_secrets"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_spans_sql()}),
+own AS (SELECT r, count(*) FILTER (WHERE rank = 0) AS n0, count(*) FILTER (WHERE rank = 1) AS n1, count(*) FILTER (WHERE rank = 2) AS n2,
+  string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base,
+  string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, rank) AS every FROM spans GROUP BY r)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM docs LEFT JOIN own USING (r)
+"""
+
+_MIX = mixing.MixParams()
+ORACLES["op8_mixing"] = f"""
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+par AS (SELECT greatest({_MIX.slots}, count(*)) AS slots, sum(sqrt(n)) AS total FROM counts),
+exact AS (SELECT source, n, sqrt(n) / total * slots AS x, slots FROM counts, par),
+base AS (SELECT source, n, x, slots, greatest(1, CAST(floor(x) AS BIGINT)) AS q0 FROM exact),
+quota AS (SELECT source, n, slots, q0 + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, source NULLS FIRST) <= slots - sum(q0) OVER () THEN 1 ELSE 0 END AS q FROM base),
+named AS (SELECT source, n, slots, q, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM quota),
+lists AS (SELECT list(q ORDER BY i) AS qs, any_value(slots) AS slots FROM named),
+run AS (
+  SELECT 0 AS t, 0 AS i, 0 AS k, list_transform(qs, lambda x: 0) AS done FROM lists
+  UNION ALL
+  SELECT t + 1, pick, done[pick] + 1, list_transform(done, lambda x, j: CASE WHEN j = pick THEN x + 1 ELSE x END)
+  FROM (SELECT t, done, list_min(list_filter(list_transform(range(1, len(qs) + 1), lambda j: CASE WHEN done[j] < qs[j] AND (done[j] * slots) // qs[j] <= t
+        THEN ((done[j] + 1) * slots + qs[j] - 1) // qs[j] * 100000 + j END), lambda x: x IS NOT NULL)) % 100000 AS pick, slots FROM run, lists WHERE t < slots)),
+slot AS (SELECT i, k - 1 AS j, t - 1 AS slot FROM run WHERE t > 0),
+ends AS (SELECT min((n // {_MIX.block}) // q * slots + slot) AS e FROM named JOIN slot USING (i) WHERE j = (n // {_MIX.block}) % q),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS k FROM documents)
+SELECT doc_id, r.source, k // {_MIX.block} AS mix_block, (k // {_MIX.block}) * slots // q AS mix_release,
+  ((k // {_MIX.block} + 1) * slots + q - 1) // q AS mix_deadline, CAST((k // {_MIX.block}) // q * slots + slot AS BIGINT) AS mix_slot,
+  CAST(k % {_MIX.block} AS INTEGER) AS mix_place, (k // {_MIX.block}) // q * slots + slot < e AS in_mix
+FROM ranked r JOIN named d ON r.source IS NOT DISTINCT FROM d.source JOIN slot ON slot.i = d.i AND slot.j = (k // {_MIX.block}) % q, ends
+"""
