@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, knn, mixing, ppm, quality, secrets, simhash, toxicity
+from . import decontaminate, knn, mixing, ppm, quality, secrets, simhash, suffixes, toxicity
 from ._common import read_table
 
 
@@ -38,6 +38,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_knn, op4_decontaminate, op5_ppm, op6_simhash, op8_mixing, op9_secrets, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_knn, op4_decontaminate, op5_ppm, op6_simhash, op7_suffixes, op8_mixing, op9_secrets, op10_quality)}
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
