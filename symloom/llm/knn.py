@@ -53,6 +53,8 @@ def _pivots(vectors: DataFrame, n: int, most: int) -> np.ndarray:
     sample = vectors.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) < int(rate * (1 << 20))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
     if not len(sample):
         sample = vectors.limit(1).toPandas()
+    if not len(sample):
+        return np.zeros((1, 1))
     width = int(max(map(len, sample["v"]), default=0))
     points = _matrix(sample["v"], max(width, 1))
     n = max(1, min(n, len(points)))
