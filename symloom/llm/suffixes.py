@@ -17,7 +17,7 @@ from the anchor are merge-sorted. Suffixes are compared by prefix polynomial has
 over lengths finds their common extension, and the next byte decides. Neighbours in the order with a
 common extension of `length` bytes are equal windows, which a comparison of the bytes verifies. An
 anchor hash with over `most_in_group` such segments is not gathered. Its windows are taken in
-stretches of STRETCH distances from the anchor; all windows of a stretch share a core of bytes. A
+stretches of 16, then 4 distances from the anchor; all windows of a stretch share a core of bytes. A
 core that occurs once has no repeats, one whose stretches are all alike is repeated throughout; of
 the others the hashes of the windows (2 x 64 bits) are counted.
 
@@ -43,9 +43,8 @@ from ._features import _powers, mix
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-_M64 = (1 << 64) - 1
-#: Distances from the anchor that one row of a large group stands for.
-STRETCH = 16
+#: Distances from the anchor that one row of a large group stands for, coarse to fine.
+STRETCHES = (16, 4)
 
 
 def gram_hashes(body: np.ndarray, gram: int) -> np.ndarray:
@@ -300,24 +299,25 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, most_in_g
     cold = pieces.filter(F.col("members") <= most_in_group).groupBy("grams").agg(F.collect_list(F.struct("row", "place", "alone", "text")).alias("members"))
     cold = cold.select("members").mapInPandas(solve, "row long, start long, end long").select("row", F.struct("start", "end").alias("span"))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, three = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
-        for batch in batches:
-            rows = batch.to_pydict()
-            out: list[list] = [[] for _ in range(9)]
-            for g, row, place, alone, text in zip(rows["grams"], rows["row"], rows["place"], rows["alone"], rows["text"]):
-                n, offset = (place >> 8) & 255, place & 255
-                for stretch in range((offset - n + 1) // STRETCH, offset // STRETCH + 1):
-                    high = min(offset, stretch * STRETCH + STRETCH - 1)
-                    low = max(offset - n + 1, stretch * STRETCH)
-                    part = text[offset - high : offset - low + length]
-                    core = text[offset - stretch * STRETCH : offset - stretch * STRETCH - STRETCH + 1 + length]
-                    for column, x in zip(out, (g, stretch, one(core), two(core), three(part, high) & _M64, row if alone else -1, (place >> 16) + offset - high, high, part)):
-                        column.append(x)
-            unsigned = {2, 3, 4}
-            kinds = [pa.int64(), pa.int32(), None, None, None, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            arrays = [pa.array(np.array(x, np.uint64).view(np.int64)) if i in unsigned else pa.array(x, kinds[i]) for i, x in enumerate(out)]
-            yield pa.RecordBatch.from_arrays(arrays, ["grams", "stretch", "c1", "c2", "own", "row", "start", "distance", "text"])
+    def stretches(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, two, three = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
+            for batch in batches:
+                rows = batch.to_pydict()
+                out: list[list] = [[] for _ in range(9)]
+                for g, first, row, start, text in zip(rows["grams"], rows["distance"], rows["row"], rows["start"], rows["text"]):
+                    last = first - (len(text) - length)
+                    for stretch in range(last // size, first // size + 1):
+                        high, low = min(first, stretch * size + size - 1), max(last, stretch * size)
+                        part = text[first - high : first - low + length]
+                        core = text[first - stretch * size : first - stretch * size - size + 1 + length]
+                        for column, x in zip(out, (g, stretch, one(core), two(core), three(part, high), row, start + first - high, high, part)):
+                            column.append(x)
+                kinds = [pa.int64(), pa.int32(), None, None, None, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                arrays = [pa.array(x, k) if k else pa.array(np.array(x, np.uint64).view(np.int64)) for k, x in zip(kinds, out)]
+                yield pa.RecordBatch.from_arrays(arrays, ["grams", "stretch", "c1", "c2", "own", "row", "start", "distance", "text"])
+
+        return run
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
@@ -332,17 +332,23 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, most_in_g
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[2:4]), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["grams", "distance", "h1", "h2", "row", "start"])
 
-    hot = pieces.filter(F.col("members") > most_in_group).mapInArrow(stretches, "grams long, stretch int, c1 long, c2 long, own long, row long, start long, distance int, text binary")
-    hot = cut(hot, "stretches")
     core = ["grams", "stretch", "c1", "c2"]
-    shared = hot.groupBy(*core).agg(F.count("*").alias("n"), (F.min("own") == F.max("own")).alias("alike")).filter(F.col("n") > 1)
-    hot = cut(hot.join(shared.select(*core, "alike"), core), "cores")
-    equal = hot.filter(F.col("alike") & (F.col("row") >= 0)).select("row", F.struct("start", (F.col("start") + F.octet_length("text")).alias("end")).alias("span"))
-    windows_of = cut(hot.filter(~F.col("alike")).select("grams", "distance", "row", "start", "text").mapInArrow(hashes, "grams long, distance int, h1 long, h2 long, row long, start long"), "windows")
+    open_ = pieces.filter(F.col("members") > most_in_group).select(
+        "grams", F.col("place").bitwiseAND(F.lit(255)).cast("int").alias("distance"), F.when(F.col("alone"), F.col("row")).otherwise(-1).alias("row"), F.shiftright("place", 16).alias("start"), "text"
+    )
+    hot = None
+    for size in STRETCHES:
+        part = cut(open_.mapInArrow(stretches(size), "grams long, stretch int, c1 long, c2 long, own long, row long, start long, distance int, text binary"), "stretches")
+        met = part.groupBy(*core).agg(F.count("*").alias("n"), (F.min("own") == F.max("own")).alias("alike")).filter(F.col("n") > 1)
+        part = cut(part.join(met.select(*core, "alike"), core), "cores")
+        equal = part.filter(F.col("alike") & (F.col("row") >= 0)).select("row", F.struct("start", (F.col("start") + F.octet_length("text")).alias("end")).alias("span"))
+        hot = equal if hot is None else hot.unionByName(equal)
+        open_ = part.filter(~F.col("alike")).select("grams", "distance", "row", "start", "text")
+    windows_of = cut(open_.mapInArrow(hashes, "grams long, distance int, h1 long, h2 long, row long, start long"), "windows")
     same = ["grams", "distance", "h1", "h2"]
     often = cut(windows_of.groupBy(*same).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(*same), "often")
-    hot = windows_of.join(often, same, "left_semi").filter(F.col("row") >= 0).select("row", F.struct("start", (F.col("start") + length).alias("end")).alias("span"))
-    hot = equal.unionByName(hot)
+    single = windows_of.join(often, same, "left_semi").filter(F.col("row") >= 0).select("row", F.struct("start", (F.col("start") + length).alias("end")).alias("span"))
+    hot = hot.unionByName(single)
 
     spans = full.unionByName(cold).unionByName(hot)
     return spans.join(keys, "row").groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
