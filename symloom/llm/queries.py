@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, knn, mixing, ppm, quality, secrets, simhash, suffixes, toxicity
+from . import decontaminate, knn, licenses, mixing, ppm, quality, secrets, simhash, suffixes, toxicity
 from ._common import read_table
 
 
@@ -13,6 +13,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(read_table(spark, sf_dir, "documents"))
+    told = F.transform("matches", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), F.round(x["coverage"], 4).cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.array_join(told, ",").alias("spans"),
+    )
+
+
 def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -62,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_knn, op4_decontaminate, op5_ppm, op6_simhash, op7_suffixes, op8_mixing, op9_secrets, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_knn, op4_decontaminate, op5_ppm, op6_simhash, op7_suffixes, op8_mixing, op9_secrets, op10_quality)}
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
