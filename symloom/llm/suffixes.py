@@ -18,8 +18,8 @@ over lengths finds their common extension, and the next byte decides. Neighbours
 common extension of `length` bytes are equal windows, which a comparison of the bytes verifies. An
 anchor hash with over `most_in_group` such segments is not gathered. Its windows are taken in
 stretches of 16, then 4 distances from the anchor; all windows of a stretch share a core of bytes. A
-core that occurs once has no repeats, one whose stretches are all alike is repeated throughout; of
-the others the hashes of the windows (2 x 64 bits) are counted.
+stretch that occurs twice is repeated throughout, a core that occurs once has no repeats; of what is
+left, one of each stretch, the hashes of the windows (2 x 64 bits) are counted.
 
 Defined cases: a null text is an empty text, which keeps its zero bytes; texts shorter than `length`
 keep all; repeated rows repeat each other; a null doc_id is an id like others; overlapping
@@ -339,11 +339,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, most_in_g
     hot = None
     for size in STRETCHES:
         part = cut(open_.mapInArrow(stretches(size), "grams long, stretch int, c1 long, c2 long, own long, row long, start long, distance int, text binary"), "stretches")
-        met = part.groupBy(*core).agg(F.count("*").alias("n"), (F.min("own") == F.max("own")).alias("alike")).filter(F.col("n") > 1)
-        part = cut(part.join(met.select(*core, "alike"), core), "cores")
-        equal = part.filter(F.col("alike") & (F.col("row") >= 0)).select("row", F.struct("start", (F.col("start") + F.octet_length("text")).alias("end")).alias("span"))
+        per = cut(part.groupBy(*core, "own").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "distance", "text")).alias("x")), "counted")
+        twice = per.filter(F.col("n") > 1).select(*core, "own")
+        equal = part.filter(F.col("row") >= 0).join(twice, [*core, "own"], "left_semi").select("row", F.struct("start", (F.col("start") + F.octet_length("text")).alias("end")).alias("span"))
         hot = equal if hot is None else hot.unionByName(equal)
-        open_ = part.filter(~F.col("alike")).select("grams", "distance", "row", "start", "text")
+        mixed = per.groupBy(*core).agg(F.count("*").alias("members"), F.count(F.when(F.col("n") == 1, 1)).alias("single")).filter((F.col("members") > 1) & (F.col("single") > 0))
+        open_ = per.join(mixed.select(*core), core, "left_semi").select("grams", "x.distance", F.when(F.col("n") == 1, F.col("x.row")).otherwise(-1).alias("row"), "x.start", "x.text")
     windows_of = cut(open_.mapInArrow(hashes, "grams long, distance int, h1 long, h2 long, row long, start long"), "windows")
     same = ["grams", "distance", "h1", "h2"]
     often = cut(windows_of.groupBy(*same).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(*same), "often")
