@@ -1 +1,54 @@
+"""Queries of token budgets and rollups."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tokens as K
+from ..operators import select as S
+from .base import query
+
+_TOKENS = "CASE WHEN length({0}) = 0 THEN 0 ELSE CAST(floor((length({0}) - (length({0}) - length(replace({0}, chr(10), '')))) / 2.62::DOUBLE) AS BIGINT) + (length({0}) - length(replace({0}, chr(10), ''))) + 1 END"
+
+
+@query(f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents WHERE text IS NOT NULL", prelude=None)
+def token_estimate(t):
+    return t["documents"].filter("text is not null").select("doc_id", K.estimate(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH line AS (SELECT path, name_start_line AS n, id, signature, {_TOKENS.format('signature')} + 1 AS cost FROM sym WHERE NOT is_synthetic AND NOT is_local),
+run AS (SELECT id, CAST(sum(cost) OVER (ORDER BY path, n, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM line) SELECT id, spent FROM run WHERE spent <= 2000""")
+def skeleton_budget(t):
+    return S.skeleton_prefix(t.symbols, 2000).select("id", "spent")
+
+
+@query(f"""WITH files AS (SELECT concat(lang, '/', source, '/', doc_id) AS p, {_TOKENS.format('text')} AS tokens FROM documents WHERE text IS NOT NULL),
+every AS (SELECT 0 AS level, '' AS path, tokens FROM files UNION ALL SELECT 1, split_part(p, '/', 1), tokens FROM files UNION ALL SELECT 2, concat(split_part(p, '/', 1), '/', split_part(p, '/', 2)), tokens FROM files)
+SELECT level, path, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS files FROM every GROUP BY 1, 2""", prelude=None)
+def token_rollup(t):
+    files = t["documents"].filter("text is not null").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), K.estimate(F.col("text")).alias("tokens"), F.lit(0).alias("symbols"))
+    return S.token_tree(files, 2).select("level", "path", "tokens", "files")
+
+
+_SCORED = "WITH scored AS (SELECT id, path, score FROM sym JOIN ranks ON symbol_id = id)"
+
+
+@query(f"{_SCORED}, best AS (SELECT path FROM scored GROUP BY path ORDER BY max(score) DESC, path LIMIT 5) SELECT id, path, score FROM scored WHERE path IN (SELECT path FROM best)")
+def top_files(t):
+    return S.top_files(_scored(t), 5)
+
+
+@query(f"{_SCORED}, k AS (SELECT id, path, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS k FROM scored) SELECT id, CAST(k AS INTEGER) AS k, round(score / sqrt(k), 9) AS gain FROM k")
+def file_discount(t):
+    return S.file_discount(_scored(t)).select("id", "k", F.round("gain", 9).alias("gain"))
+
+
+def _scored(t):
+    return t.symbols.select("id", "path").join(t.ranks.withColumnRenamed("symbol_id", "id"), "id")
+
+
+@query()
+def repo_map(t):
+    """The map as lines; greedy choice over a bounded pool, which SQL cannot say."""
+    text, _ = S.render_map(t.symbols, t.ranks, 2000)
+    return t.spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "n int, line string")
