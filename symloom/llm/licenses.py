@@ -5,7 +5,7 @@ consecutive words of each template are winnowed: of every `window` neighbours th
 kept ones are the keys of an inverted index (hash -> template and place). Texts are winnowed alike, so
 that any run of gram + window - 1 words that a text shares with a template meets in the index; a match
 without such a run is not found. Hits of one template on nearby diagonals are one candidate, around
-which the template is aligned with the text in a band (of at most half its words either way; match 2, other word -1, gap -1, ends free).
+which the template is aligned with the text in a band, and again in one narrower than the template (match 2, other word -1, gap -1, ends free).
 Alignments that match at least `coverage` of the template's words are reported, best first, where
 they don't overlap a better one of the same template.
 
@@ -136,19 +136,20 @@ def matches(index: Index, words: np.ndarray, low: int, high: int, hits: list[tup
         by_template[k].append(diagonal)
     for k, diagonals in by_template.items():
         template = index.words[k]
-        band = min(p.band, len(template) // 2)  # narrower than what lies between two matches in a row
+        narrow = min(p.band, len(template) // 2)  # less than what lies between two matches in a row
         candidates, group = [], []
         for d in sorted(set(diagonals)):
-            if group and d - group[0] > band:
+            if group and d - group[0] > narrow:
                 candidates.append(group)
                 group = []
             group.append(d)
         candidates.append(group)
         own = []
         for group in candidates:
-            m, first, end = aligned(template, words, low, high, (group[0] + group[-1]) // 2, band)
-            if m >= p.coverage * len(template):
-                own.append((m, first, end))
+            for band in {narrow, p.band}:  # the wide band may reach a neighbour instead, the narrow one may cut a match with insertions
+                m, first, end = aligned(template, words, low, high, (group[0] + group[-1]) // 2, band)
+                if m >= p.coverage * len(template):
+                    own.append((m, first, end))
         taken: list[tuple[int, int]] = []
         for m, first, end in sorted(set(own), key=lambda x: (-x[0], x[1], x[2])):
             if all(end <= a or first >= b for a, b in taken):
