@@ -104,7 +104,7 @@ def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap"
 
     Facts meet if they lie on one line of one file; pairs that agree exactly are matched first, the
     rest by the policy, each time as many as can be, one to one. Kinds must agree where both have one;
-    facts with a target must agree on it, or on the alternates of either.
+    facts with a target must agree on it, or on the alternates of either. A fact without a place meets none.
     """
     columns = [f"{prefix}path" if prefix else "path", *[f"{prefix}{x}" for x in SPAN], "kind"]
     targets = [c for c in candidate.columns if c.startswith(("target_", "alternate_"))] if "target_path" in candidate.columns else []
@@ -112,8 +112,7 @@ def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap"
     key = [columns[0], columns[1]]
     out = f"{columns[0]} string, {columns[1]} int, status string, tolerant boolean, c_id long, o_id long"
 
-    def solve(_key, c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        left, right = c.to_dict("records"), o.to_dict("records")
+    def solve(left: list, right: list) -> list[tuple]:
         span = lambda f, p: tuple(f[f"{p}{x}"] for x in SPAN)
 
         def agree(a, b, how: str) -> bool:
@@ -143,13 +142,24 @@ def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap"
             rows.append((f[key[0]], f[key[1]], "tp" if i in partner else "fp", i in tolerant, f["_id"], right[partner[i]]["_id"] if i in partner else None))
         used = set(partner.values())
         rows += [(f[key[0]], f[key[1]], "fn", False, None, f["_id"]) for j, f in enumerate(right) if j not in used]
-        return pd.DataFrame(rows, columns=[key[0], key[1], "status", "tolerant", "c_id", "o_id"]).astype({"c_id": "Int64", "o_id": "Int64"})
+        return rows
+
+    def run(frames):
+        for f in frames:
+            rows = [x for c, o in zip(f["c"], f["o"]) for x in solve(list(c) if c is not None else [], list(o) if o is not None else [])]
+            plain = pd.DataFrame([r[:4] for r in rows], columns=[key[0], key[1], "status", "tolerant"])
+            # The ids are hashes of 64 bits: as floats, which a null among them would make of them, they would lose digits.
+            yield plain.assign(c_id=pd.array([r[4] for r in rows], dtype="Int64"), o_id=pd.array([r[5] for r in rows], dtype="Int64"))
 
     def numbered(df: DataFrame) -> DataFrame:
         with_id = df if "_id" in df.columns else df.withColumn("_id", F.xxhash64(*use))
         return with_id.select(*use, "_id")
 
-    return numbered(candidate).groupBy(*key).cogroup(numbered(oracle).groupBy(*key)).applyInPandas(solve, out)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return numbered(df).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*use, "_id"))).alias(name))
+
+    # Many lines to a batch: a line of a file has few facts, and a call of Python for each would cost more than the matching.
+    return side(candidate, "c").join(side(oracle, "o"), key, "full").select("c", "o").mapInPandas(run, out)
 
 
 def by_path(matched: DataFrame, path: str = "path") -> DataFrame:
