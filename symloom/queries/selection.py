@@ -38,9 +38,9 @@ def top_files(t):
     return S.top_files(_scored(t), 5)
 
 
-@query(f"{_SCORED}, k AS (SELECT id, path, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS k FROM scored) SELECT id, CAST(k AS INTEGER) AS k, round(score / sqrt(k), 9) AS gain FROM k")
+@query(f"{_SCORED}, k AS (SELECT id, path, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS k FROM scored) SELECT id, CAST(k AS INTEGER) AS k, round(score / sqrt(k), 12) AS gain FROM k")
 def file_discount(t):
-    return S.file_discount(_scored(t)).select("id", "k", F.round("gain", 9).alias("gain"))
+    return S.file_discount(_scored(t)).select("id", "k", F.round("gain", 12).alias("gain"))
 
 
 def _scored(t):
