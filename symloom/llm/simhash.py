@@ -172,15 +172,20 @@ def keep_first(docs: DataFrame, size: int = 3, most_in_bucket: int = 4096) -> Da
 
     A component without any doc_id keeps one row; repeated rows of the kept doc_id leave one.
     """
-    columns = docs.columns
     marked, classes = _classes(docs, size, most_in_bucket)
+    return keep_least(docs, marked.join(classes, "fp"))
+
+
+def keep_least(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their component; rooted: (doc_id, of, root) of every row, `of` a hash of the text."""
+    columns = docs.columns
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("of"))
-    kept = marked.join(classes, "fp").groupBy("root").agg(F.min(rank).alias("kept"))
+    kept = rooted.groupBy("root").agg(F.min(rank).alias("kept"))
     kept = cut(kept.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.of").alias("_kept_of")), "kept")
     of = F.xxhash64(text_bytes(F.col("text")))
     held = docs.withColumn("_kept_of", of).withColumn("_kept_id", F.col("doc_id"))
     on = held["_kept_id"].eqNullSafe(kept["_kept_id"]) & (held["_kept_of"] == kept["_kept_of"])
     held = held.join(kept, on, "left_semi")
-    if marked.groupBy("doc_id", "of").count().filter(F.col("count") > 1).limit(1).count():
+    if rooted.groupBy("doc_id", "of").count().filter(F.col("count") > 1).limit(1).count():
         held = held.dropDuplicates(["_kept_id", "_kept_of"])
     return held.select(*columns)
