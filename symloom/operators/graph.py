@@ -104,55 +104,60 @@ def neighbours(edges: DataFrame, start: str, direction: str = "out", depth: int
     return seen.filter("depth > 0")
 
 
-def closure(parents: DataFrame, levels: int = 12) -> DataFrame:
+#: A bound for safety, far beyond any nesting: chains that are longer are an error.
+MOST_LEVELS = 1000
+
+
+def closure(parents: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """parents(child, parent) -> (child, ancestor, depth): the least depth at which each ancestor is reached; cycles end.
 
-    Each round joins the new pairs alone with the parents and drops those that are known.
+    Each round joins the new pairs alone with the parents and drops those that are known, until there
+    are none; pairs beyond `most` levels are an error.
     """
     parents = parents.select("child", "parent").filter("child <> parent").distinct()
     frontier = parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     seen = frontier
     step = parents.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    for d in range(2, levels + 1):
+    for d in range(2, most + 2):
         more = frontier.join(step, F.col("ancestor") == F.col("_c")).select("child", F.col("_p").alias("ancestor")).filter("child <> ancestor").distinct()
         frontier = cut(more.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError(f"chains of over {most} levels")
 
 
-def container_chain(symbols: DataFrame, levels: int = 12) -> DataFrame:
+def container_chain(symbols: DataFrame) -> DataFrame:
     """(id, ancestor, depth): each symbol and the containers around it, itself at depth 0."""
     up = symbols.filter(F.col("container_id").isNotNull()).select(F.col("id").alias("child"), F.col("container_id").alias("parent"))
-    around = closure(up, levels).select(F.col("child").alias("id"), "ancestor", "depth")
+    around = closure(up).select(F.col("child").alias("id"), "ancestor", "depth")
     return symbols.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(around)
 
 
-def enclosing_types(symbols: DataFrame, levels: int = 12) -> DataFrame:
+def enclosing_types(symbols: DataFrame) -> DataFrame:
     """(id, type_id): the nearest type-like symbol around each symbol, itself included."""
     types = symbols.filter(F.col("kind").isin(*TYPE_LIKE)).select(F.col("id").alias("ancestor"))
-    near = container_chain(symbols, levels).join(types, "ancestor")
+    near = container_chain(symbols).join(types, "ancestor")
     return near.groupBy("id").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("type_id"))
 
 
-def descendants(symbols: DataFrame, root: str, levels: int = 12) -> DataFrame:
+def descendants(symbols: DataFrame, root: str) -> DataFrame:
     """Symbols inside one, in the order of the text, with their depth below it."""
-    chain = container_chain(symbols, levels).filter((F.col("ancestor") == root) & (F.col("depth") > 0)).select("id", "depth")
+    chain = container_chain(symbols).filter((F.col("ancestor") == root) & (F.col("depth") > 0)).select("id", "depth")
     return symbols.join(chain, "id").orderBy("path", "name_start_line", "name_start_char", "id").select("id", "name", "kind", "depth")
 
 
-def with_ancestors(symbols: DataFrame, chosen: DataFrame, levels: int = 12) -> DataFrame:
+def with_ancestors(symbols: DataFrame, chosen: DataFrame) -> DataFrame:
     """ids of a selection (column id) closed under containers."""
     up = symbols.select(F.col("id").alias("child"), F.col("container_id").alias("parent")).filter("parent is not null")
     out = chosen.select("id").distinct()
-    for _ in range(levels):
+    for _ in range(MOST_LEVELS + 1):
         more = out.join(up, F.col("id") == F.col("child")).select(F.col("parent").alias("id"))
         wider = cut(out.unionByName(more).distinct())
         if wider.count() == out.count():
-            break
+            return wider
         out = wider
-    return out
+    raise RuntimeError(f"chains of over {MOST_LEVELS} levels")
 
 
 def bases(edges: DataFrame) -> DataFrame:
