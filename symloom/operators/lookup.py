@@ -172,11 +172,11 @@ def file_outline(symbols: DataFrame, path: str, levels: int = 8) -> DataFrame:
     return out.orderBy("name_start_line", "name_start_char", "id").select("id", "name", "kind", "name_start_line", "depth")
 
 
-def name_paths(symbols: DataFrame, levels: int = 6) -> DataFrame:
+def name_paths(symbols: DataFrame) -> DataFrame:
     """id -> names from the outermost container down, joined by slashes."""
     from .graph import container_chain
 
-    chain = container_chain(symbols).filter(F.col("depth") <= levels)
+    chain = container_chain(symbols)
     named = symbols.select(F.col("id").alias("ancestor"), "name")
     parts = chain.join(named, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("depth"), F.col("name")))).alias("parts"))
     return parts.select("id", F.array_join(F.transform(F.reverse("parts"), lambda x: x["name"]), "/").alias("name_path"))

@@ -130,7 +130,7 @@ def confident_uses(t):
 @query("""WITH c AS (SELECT id, name, container_id FROM sym) SELECT a.id, concat_ws('/', f.name, e.name, d.name, b.name, a.name) AS name_path
 FROM c a LEFT JOIN c b ON b.id = a.container_id LEFT JOIN c d ON d.id = b.container_id LEFT JOIN c e ON e.id = d.container_id LEFT JOIN c f ON f.id = e.container_id""")
 def name_path(t):
-    return L.name_paths(t.symbols, 4)
+    return L.name_paths(t.symbols)
 
 
 @query("""SELECT id, concat(kind, ' ', qualified_name, '  ', path, ':', name_start_line + 1) AS line FROM sym""")
