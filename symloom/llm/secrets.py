@@ -41,13 +41,14 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # Through the END line; without one, over its headers and the base64 lines (and at most one word) that follow.
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\r\n]+(?:Proc-Type|DEK-Info):[^\r\n]*){0,4}[A-Za-z0-9+/=\r\n\\]*)"),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]{1,64}:[A-Za-z0-9._~%!$&*+,;=-]{3,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]*:[A-Za-z0-9._~%!$&*+,;=-]{3,}@"),
 )
 RULES = BASE + MORE
 
