@@ -22,6 +22,9 @@ _M64 = (1 << 64) - 1
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[33:127] = 2
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+#: One class for all bytes but white space: what SimHash and similarity call words.
+UNSPACED = np.ones(256, np.uint8)
+UNSPACED[[9, 10, 11, 12, 13, 32]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -44,8 +47,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Tokens:
     """Token starts, ends, documents and a hasher of byte ranges, of one buffer of documents."""
 
-    def __init__(self, body: np.ndarray, at: np.ndarray, lower: bool):
-        kind = _CLASS[body]
+    def __init__(self, body: np.ndarray, at: np.ndarray, lower: bool, classes: np.ndarray = _CLASS):
+        kind = classes[body]
         if lower:
             body = _LOWER[body]
         n = len(body)
@@ -82,7 +85,7 @@ def distinct(doc: np.ndarray, h: np.ndarray, n_docs: int, bits: int = BITS) -> t
 
 
 def toxicity_features(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct lower-cased words, their prefixes of 4, 5 and 6 bytes, and word pairs."""
+    """Distinct lower-cased words and their prefixes of 4, 5 and 6 bytes."""
     t = Tokens(body, at, lower=True)
     word = t.visible == 1
     start, end, doc = t.start[word], t.end[word], t.doc[word]

@@ -13,7 +13,8 @@ thing broadcast at once, and every block passes over every text.
 Defined cases: a null text has no words; an item without words or with a null item_id has no
 windows; repeated items count once; an item of fewer than 8 words matches wherever its words stand
 in a row; repeated rows of documents are judged each; with an empty benchmark nothing is hit; a word
-inside several occurrences counts once; extra columns are ignored.
+inside several occurrences counts once; an empty table gives an empty result; extra columns are
+ignored. A text is one chunk of work however long it is, at some 40 bytes of memory a byte of text.
 """
 
 from __future__ import annotations
@@ -156,10 +157,10 @@ def blocks_of(benchmark: DataFrame, most_windows: int, window: int) -> list:
     return out
 
 
-def marks(array: pa.Array, automata) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """(words, hit words, sorted ids of the items with occurring windows) of each text."""
+def marks(array: pa.Array, automata) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """(words, hit words, words of the longest window hit, sorted ids of the items with occurring windows) of each text."""
     n = len(array)
-    n_words, n_hit, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
+    n_words, n_hit, longest, items = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
     parts = list(chunks(array))
     held = []
     for first, end, body, at in parts:
@@ -180,6 +181,7 @@ def marks(array: pa.Array, automata) -> tuple[np.ndarray, np.ndarray, list[list[
             for k in key.tolist():
                 doc, p = divmod(k, len(a.patterns))
                 own[doc].update(a.items[i] for i in a.item_of[a.item_at[p] : a.item_at[p + 1]])
+                longest[first + doc] = max(longest[first + doc], a.words[p])
         del a
     for first, end, text, at, spaces, diff, own in held:
         bounds = spaces[np.minimum(at, len(text))]
@@ -187,15 +189,15 @@ def marks(array: pa.Array, automata) -> tuple[np.ndarray, np.ndarray, list[list[
         n_words[first:end] = np.maximum(bounds[1:] - bounds[:-1] - 1, 0)
         n_hit[first:end] = hit[bounds[1:]] - hit[bounds[:-1]]
         items[first:end] = [sorted(x) for x in own]
-    return n_words, n_hit, items
+    return n_words, n_hit, longest, items
 
 
 def marker(spark: SparkSession, benchmark: DataFrame, window: int = 8, most_windows: int = 200_000):
-    """A column function: bytes of a text -> struct(n_words, n_hit, items)."""
+    """A column function: bytes of a text -> struct(n_words, n_hit, longest, items)."""
     limit_batches(spark)
     held = blocks_of(benchmark, most_windows, window)
 
-    @F.arrow_udf("struct<n_words:long,n_hit:long,items:array<string>>")
+    @F.arrow_udf("struct<n_words:long,n_hit:long,longest:long,items:array<string>>")
     def mark(text: pa.Array) -> pa.Array:
         def loader(b):
             def load():
@@ -206,8 +208,8 @@ def marker(spark: SparkSession, benchmark: DataFrame, window: int = 8, most_wind
 
             return load
 
-        n_words, n_hit, items = marks(text, [loader(b) for b in held])
-        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))], ["n_words", "n_hit", "items"])
+        n_words, n_hit, longest, items = marks(text, [loader(b) for b in held])
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_hit), pa.array(longest), pa.array(items, pa.list_(pa.string()))], ["n_words", "n_hit", "longest", "items"])
 
     return mark
 

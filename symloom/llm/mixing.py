@@ -15,9 +15,10 @@ Nothing is dropped: slots after a source has run out stay empty of it, and `in_m
 documents up to there, where the weights hold.
 
 Defined cases: a null source is a source by itself; repeated rows take a place each; a null doc_id
-hashes as empty text; an empty table gives an empty result; a source without a given weight gets
-weight 0 and its documents follow after all slots, not in the mix; extra columns are ignored by
-`mix` and kept by `mixed`.
+hashes as empty text; ties of the hash go by doc_id, rows equal in both take their places in any
+order; an empty table gives an empty result; a source without a given weight gets weight 0 and its
+documents follow after all slots, not in the mix; texts, null or very long, play no part; extra
+columns are ignored by `mix` and kept by `mixed`, whatever their names are, but for mix_* and in_mix.
 """
 
 from __future__ import annotations
@@ -75,17 +76,20 @@ def schedule(quota: dict[str | None, int]) -> dict[str | None, list[int]]:
     return out
 
 
-def _ordinals(docs: DataFrame, source: Column) -> DataFrame:
-    """docs with _source, _hash and the ordinal _k of each row within its source, by hash."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_source", source).withColumn("_hash", key).withColumn("_bucket", F.substring("_hash", 1, 3))
-    counts = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_before")
-    within = W.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id")
-    ranked = keyed.withColumn("_rank", F.row_number().over(within))
-    held = ranked.join(offsets, ranked["_source"].eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return held.withColumn("_k", F.col("_before") + F.col("_rank") - 1).drop("_s", "_b", "_before", "_rank", "_bucket")
+def _ordinals(rows: DataFrame) -> DataFrame:
+    """rows (with id and source) and the ordinal k of each within its source, by hash.
+
+    The window and the join with the offsets share their keys: rows are shuffled once.
+    """
+    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    keyed = rows.withColumns({"none": F.col("source").isNull(), "name": F.coalesce(F.col("source").cast("string"), F.lit("")), "hash": key})
+    keyed = keyed.withColumn("bucket", F.substring("hash", 1, 3))
+    keys = ["none", "name", "bucket"]
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = W.partitionBy("none", "name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("hash", "id")))
+    return ranked.join(offsets, keys).withColumn("k", F.col("before") + F.col("rank") - 1).drop(*keys, "hash", "before", "rank")
 
 
 def _plan(docs: DataFrame, p: MixParams) -> tuple[dict[str | None, int], dict[str | None, list[int]], int]:
@@ -108,32 +112,28 @@ def _plan(docs: DataFrame, p: MixParams) -> tuple[dict[str | None, int], dict[st
     return quota, at, end
 
 
+MIX = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "in_mix")
+
+
 def mixed(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """docs with mix_block, mix_release, mix_deadline, mix_slot, mix_place (within the block) and in_mix."""
+    """docs with mix_block, mix_release, mix_deadline, mix_slot, mix_place (within the block) and in_mix.
+
+    Columns of docs that have one of these names are replaced.
+    """
     quota, at, end = _plan(docs, p)
-    held = _ordinals(docs, F.col("source"))
+    held = _ordinals(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "source"))
     period = sum(quota.values()) or 1
-    k = F.col("_k")
-    block = F.floor(k / p.block).cast("long")
-    known = [s for s in quota]
-    rank = F.coalesce(*[F.when(F.col("_source").eqNullSafe(F.lit(s)), F.lit(i)) for i, s in enumerate(known)], F.lit(-1)) if known else F.lit(-1)
-    held = held.withColumn("_i", rank).withColumn("mix_block", block)
-    n = F.get(F.array(*[F.lit(quota[s]) for s in known] or [F.lit(None).cast("int")]), F.col("_i")).cast("long")
+    known = list(quota)
+    rank = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)) for i, s in enumerate(known)], F.lit(-1)) if known else F.lit(-1)
+    held = held.select("row", "k", rank.alias("i"), F.floor(F.col("k") / p.block).cast("long").alias("b"))
+    n = F.get(F.array(*[F.lit(quota[s]) for s in known] or [F.lit(None).cast("int")]), F.col("i")).cast("long")
     slots = F.array(*[F.array(*map(F.lit, at[s])) for s in known] or [F.array(F.lit(None).cast("int"))])
-    held = held.withColumn("_n", F.when(F.col("_i") >= 0, n))
-    b = F.col("mix_block")
-    whole = F.floor(b / F.col("_n")).cast("long")
-    held = held.withColumns(
-        {
-            "mix_release": F.floor(b * period / F.col("_n")).cast("long"),
-            "mix_deadline": F.ceil((b + 1) * period / F.col("_n")).cast("long"),
-            "mix_slot": whole * period + F.get(F.get(slots, F.greatest(F.col("_i"), F.lit(0))), (b % F.col("_n")).cast("int")),
-            "mix_place": (k % p.block).cast("int"),
-        }
-    )
-    held = held.withColumn("in_mix", F.coalesce(F.col("mix_slot") < end, F.lit(False)))
-    own = [c for c in docs.columns if c not in {"mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "in_mix"}]
-    return held.select(*own, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "in_mix")
+    held = held.withColumn("n", F.when(F.col("i") >= 0, n))
+    b = F.col("b")
+    slot = F.floor(b / F.col("n")).cast("long") * period + F.get(F.get(slots, F.greatest(F.col("i"), F.lit(0))), (b % F.col("n")).cast("int"))
+    values = (b, F.floor(b * period / F.col("n")).cast("long"), F.ceil((b + 1) * period / F.col("n")).cast("long"), slot, (F.col("k") % p.block).cast("int"), F.coalesce(slot < end, F.lit(False)))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in MIX]
+    return held.select(*own, *[v.alias(c) for v, c in zip(values, MIX, strict=True)])
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:

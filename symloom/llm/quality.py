@@ -6,7 +6,9 @@ the sigmoid of a sparse dot product over its distinct n-grams.
 
 Defined cases: a null text is an empty text, which scores the bias; null labels are no labels;
 repeated label rows of one document teach once, by their highest label; repeated rows are scored
-each; with no label every score is 0.5; extra columns are ignored.
+each; with no label every score is 0.5; an empty table gives an empty result; extra columns are
+ignored. A text is one chunk of work however long it is, at some 90 bytes of memory a byte of text;
+labels that tie in the hash that chooses a sample go by doc_id.
 """
 
 from __future__ import annotations
@@ -69,11 +71,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: QualityParams = Qu
         return feature_lists(text, quality_features)
 
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.count()
-    rate = min(1.0, p.max_rows / max(n, 1))
-    mark = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20))
-    chosen = known.filter(mark < F.lit(int(rate * (1 << 20))))
-    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("text")).join(chosen, "doc_id")
+    # At most max_rows ids: these are broadcast, so that no text moves to be chosen.
+    chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(p.max_rows)
+    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
     found = rows.select(to_features("text").alias("features"), F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", "text").alias("of")).toArrow()
     order = np.argsort(found.column("of").to_numpy(), kind="stable")[: p.max_rows]
     if not len(order):

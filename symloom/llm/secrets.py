@@ -1,23 +1,27 @@
-"""Secret scans: trigram queries derived from each rule's regex choose the texts to verify.
+"""Secret scans: a trigram inverted index chooses the texts in which each rule's regex is verified.
 
 For every rule a Boolean query over trigrams is derived from its parsed regex: trigrams that any
-match must contain are intersected, alternatives are united. The postings are partitioned by
-document: a text's own trigrams are probed where the text lies, the intersection decides whether the
-rule's regex runs on it, and only then are matches extracted and placed. A rule without mandatory
-trigrams scans every text. `posting_lists` and `candidates` give the same index by trigram, for use
-apart from the texts. All of it is built from DataFrame functions; Python only derives the queries.
+match must contain are intersected, alternatives are united. One pass over the texts makes postings
+of the trigrams that some rule needs (trigram -> keys of rows), dealt into shards by a hash of the
+key, so that a posting list is bounded by its shard. Shard by shard the queries intersect and unite
+posting lists; the keys that are left, with the rules they are left for, are joined to the texts,
+and only there the rule's regex runs. A rule without mandatory trigrams scans every text. All of it
+is built from DataFrame functions; Python only derives the queries.
 
-Trigrams are of the text with A-Z lower-cased, so that rules in either case share them; this can
-only add candidates, which the verification drops.
+A row's key is a hash of its id and text: rows that share one share their candidates, which can only
+add to what is verified. Trigrams are of the text with A-Z lower-cased, which can only add as well.
 
 Defined cases: a null or empty text has no spans; matches of one kind do not overlap and are taken
 leftmost first; matches that fail their rule's length are dropped after they have been taken; kinds
-are matched apart, so spans of two kinds may overlap; repeated rows are scanned each; extra columns
-are ignored by `find_secrets` and kept by `redact`.
+are matched apart, so spans of two kinds may overlap, ties go by kind as listed; repeated rows are
+scanned each; an empty table gives an empty result; extra columns are ignored by `find_secrets` and
+kept by `redact`, whatever their names are; a text is one value however long it is: its pieces and
+matches are held at once, some three times its size.
 """
 
 from __future__ import annotations
 
+import functools
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
@@ -25,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -144,18 +150,37 @@ def folded(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def may_match(low: Column, query: Query) -> Column:
-    """Whether a text (its lower-cased form) has the trigrams that a rule needs."""
-    if query is None:
-        return F.lit(True)
-    any_of = None
-    for need in sorted(query, key=sorted):
-        all_of = None
-        for gram in sorted(need):
-            has = F.contains(low, F.lit(gram))
-            all_of = has if all_of is None else all_of & has
-        any_of = all_of if any_of is None else any_of | all_of
-    return any_of
+def needed_grams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for r in rules for need in trigram_query(r.pattern) or () for g in need})
+
+
+def posting_lists(docs: DataFrame, rules: tuple[Rule, ...] = RULES, shards: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(gram, shard, doc_ids): where each trigram that some rule needs occurs, a list per shard of keys."""
+    low = folded(F.coalesce(F.col(text), F.lit("")))
+    has = F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in needed_grams(rules)])
+    held = docs.select(F.col(key).alias("doc_id"), low.alias("low")).select("doc_id", F.explode(F.filter(has, lambda g: g.isNotNull())).alias("gram"))
+    return held.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).agg(F.collect_set("doc_id").alias("doc_ids"))
+
+
+def candidates(index: DataFrame, *rules: Rule) -> DataFrame:
+    """(doc_id, mask): keys that the index cannot rule out; bit k of the mask is set for the k-th rule.
+
+    Unions of intersections of posting lists, shard by shard.
+    """
+    queries = [trigram_query(r.pattern) for r in rules]
+    if None in queries:
+        raise ValueError(f"{rules[queries.index(None)].kind} has no mandatory trigram: scan all documents")
+    kind = index.schema["doc_ids"].dataType
+    lists = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("gram", "doc_ids"))).alias("lists"))
+
+    def met(query: frozenset[frozenset[str]]) -> Column:
+        postings = lambda g: F.coalesce(F.try_element_at("lists", F.lit(g)), F.array().cast(kind))
+        every = [functools.reduce(F.array_intersect, map(postings, sorted(need))) for need in sorted(query, key=sorted)]
+        return functools.reduce(F.array_union, every)
+
+    left = F.array(*[F.struct(F.lit(1 << k).cast("long").alias("bit"), met(q).alias("doc_ids")) for k, q in enumerate(queries)])
+    each = lists.select(F.explode(left).alias("x")).select("x.bit", F.explode("x.doc_ids").alias("doc_id"))
+    return each.groupBy("doc_id").agg(F.bit_or("bit").alias("mask"))
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -182,14 +207,19 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, regex), found).otherwise(empty)
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", prefix: str = "_span_") -> DataFrame:
-    """docs with a column of spans for each rule."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    low = f"{prefix}low"
-    docs = docs.withColumn(low, folded(body))
+def with_spans(held: DataFrame, rules: tuple[Rule, ...] = RULES, per_shard: int = 4096) -> DataFrame:
+    """held (columns id, body and at most row) with a column of spans for each rule."""
+    indexed = tuple(r for r in rules if trigram_query(r.pattern) is not None)
+    keyed = held.withColumn("key", F.xxhash64("id", "body"))
+    shards = max(1, held.select("id").count() // per_shard)
+    index = posting_lists(keyed, indexed, shards, "key", "body")
+    # A table, so that the join can split a key that many rows share.
+    found = cut(candidates(index, *indexed).withColumnRenamed("doc_id", "key"), "candidates")
+    keyed = keyed.join(found, "key", "left")
     empty = F.array().cast("array<struct<start:long,end:long>>")
-    found = {f"{prefix}{r.kind}": F.when(may_match(F.col(low), trigram_query(r.pattern)), spans_of(body, r)).otherwise(empty) for r in rules}
-    return docs.withColumns(found).drop(low)
+    may = {r.kind: F.coalesce(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(False)) for k, r in enumerate(indexed)}
+    spans = {f"_span_{r.kind}": F.when(may.get(r.kind, F.lit(True)), spans_of(F.col("body"), r)).otherwise(empty) for r in rules}
+    return keyed.withColumns(spans).drop("key", "mask")
 
 
 def listed(rules: tuple[Rule, ...], prefix: str = "_span_") -> Column:
@@ -208,49 +238,29 @@ def as_text(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, spans (of all rules, sorted) and one array of spans per kind, of every row."""
-    found = with_spans(docs.select("doc_id", "text"), rules)
-    return found.select("doc_id", listed(rules).alias("spans"), *[F.col(f"_span_{r.kind}").alias(r.kind) for r in rules])
+    found = with_spans(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")), rules)
+    return found.select(F.col("id").alias("doc_id"), listed(rules).alias("spans"), *[F.col(f"_span_{r.kind}").alias(r.kind) for r in rules])
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of every rule replaced by the mark; overlapping spans by one mark."""
-    found = with_spans(docs, rules).withColumn("_spans", listed(rules))
-    text = F.col("text")
+    """docs with every span of every rule replaced by the mark; overlapping spans by one mark.
+
+    A column n_chars is counted anew where a text has changed.
+    """
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
+    found = with_spans(held, rules).select("row", "body", listed(rules).alias("spans"))
+    text = F.col("body")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.when(x["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    hit = F.size("_spans") > 0
-    out = {"text": F.when(hit, clean).otherwise(text)}
-    columns = [out.get(c, F.col(c)).alias(c) for c in docs.columns]
-    redone = found.select(*columns, hit.alias("_hit"))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    hit = F.size("spans") > 0
+    redone = found.select("row", hit.alias("hit"), F.when(hit, clean).alias("clean"))
+    fresh = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        redone = redone.withColumn("n_chars", F.when(F.col("_hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return redone.select(*docs.columns)
-
-
-def posting_lists(docs: DataFrame, rules: tuple[Rule, ...] = RULES, shards: int = 1024) -> DataFrame:
-    """(gram, shard, doc_ids): where each trigram that some rule needs occurs, a list per shard of documents."""
-    grams = sorted({g for r in rules for need in trigram_query(r.pattern) or () for g in need})
-    low = folded(F.coalesce(F.col("text"), F.lit("")))
-    has = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("_low"), g))
-    held = docs.select("doc_id", low.alias("_low")).select("doc_id", F.explode(has).alias("gram"))
-    return held.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
-
-
-def candidates(index: DataFrame, rule: Rule) -> DataFrame:
-    """doc_ids that the index cannot rule out: unions of intersections of posting lists, shard by shard."""
-    query = trigram_query(rule.pattern)
-    if query is None:
-        raise ValueError(f"{rule.kind} has no mandatory trigram: scan all documents")
-    found = None
-    for need in sorted(query, key=sorted):
-        lists = index.filter(F.col("gram").isin(sorted(need))).groupBy("shard").agg(F.collect_list("doc_ids").alias("lists")).filter(F.size("lists") == len(need))
-        met = F.aggregate(F.slice("lists", 2, len(need)), F.col("lists")[0], lambda a, b: F.array_intersect(a, b)) if len(need) > 1 else F.col("lists")[0]
-        own = lists.select(F.explode(met).alias("doc_id"))
-        found = own if found is None else found.unionByName(own)
-    return found.distinct()
+        fresh["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    own = lambda c: F.col("row").getField(c)
+    return redone.select(*[(F.when(F.col("hit"), fresh[c]).otherwise(own(c)) if c in fresh else own(c)).alias(c) for c in docs.columns])

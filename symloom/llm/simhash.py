@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from ._common import chunks, cut, limit_batches, text_bytes
 from ._graph import connected_components
 
@@ -167,25 +168,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, most_in_bucket: int = 4096)
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 3, most_in_bucket: int = 4096) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 3, most_in_bucket: int = 4096, similarity: tuple[int, int] | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of the smallest doc_id.
 
-    A component without any doc_id keeps one row; repeated rows of the kept doc_id leave one.
+    Components are of fingerprints that link; with a similarity (p, q), of texts whose shingle sets
+    have a Jaccard similarity of p / q or more. No distance of fingerprints can stand for that: at 0.8
+    they differ in 10 of 64 bits on average, so that 2 bits miss nearly all and 16 link strangers.
+    Such components are found exactly, by `similar.components`.
+
+    A component without any doc_id keeps one row; repeated rows of the kept doc_id leave one. Extra
+    columns are kept, whatever their names are.
     """
-    marked, classes = _classes(docs, size, most_in_bucket)
-    return keep_least(docs, marked.join(classes, "fp"))
+    if similarity is None:
+        marked, classes = _classes(docs, size, most_in_bucket)
+        return keep_least(docs, marked.join(classes, "fp").select("doc_id", "of", "root"))
+    rows, roots = similar.components(docs, size, *similarity)
+    return keep_least(docs, rows.join(roots, "sid", "left").select("doc_id", "of", F.coalesce("root", "sid").alias("root")))
 
 
 def keep_least(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of docs that stand for their component; rooted: (doc_id, of, root) of every row, `of` a hash of the text."""
-    columns = docs.columns
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("of"))
-    kept = rooted.groupBy("root").agg(F.min(rank).alias("kept"))
-    kept = cut(kept.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.of").alias("_kept_of")), "kept")
-    of = F.xxhash64(text_bytes(F.col("text")))
-    held = docs.withColumn("_kept_of", of).withColumn("_kept_id", F.col("doc_id"))
-    on = held["_kept_id"].eqNullSafe(kept["_kept_id"]) & (held["_kept_of"] == kept["_kept_of"])
-    held = held.join(kept, on, "left_semi")
-    if rooted.groupBy("doc_id", "of").count().filter(F.col("count") > 1).limit(1).count():
-        held = held.dropDuplicates(["_kept_id", "_kept_of"])
-    return held.select(*columns)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of")
+    best = rooted.groupBy("root").agg(F.min(rank).alias("best"))
+    kept = cut(best.select(F.col("best.doc_id").alias("id"), F.col("best.of").alias("of")), "kept")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_bytes(F.col("text"))).alias("of"))
+    held = held.join(kept, held["id"].eqNullSafe(kept["id"]) & (held["of"] == kept["of"]), "left_semi")
+    if not rooted.groupBy("doc_id", "of").count().filter(F.col("count") > 1).isEmpty():
+        held = held.dropDuplicates(["id", "of"])
+    return held.select("row.*")

@@ -7,7 +7,9 @@ among them, and the correction is kept from going below zero (where it does, the
 
 Defined cases: a null text is an empty text, which scores the bias; null labels are no labels; a
 document labelled toxic and not toxic in repeated label rows counts as toxic; repeated rows are
-scored each; with no confirmed toxic text every score is the prior; extra columns are ignored.
+scored each; with no confirmed toxic text every score is the prior; an empty table gives an empty
+result; extra columns are ignored. A text is one chunk of work however long it is, at some 70 bytes
+of memory a byte of text; ties in the hashes that choose a sample go by id, then by place.
 """
 
 from __future__ import annotations
@@ -112,20 +114,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: ToxicityParams = T
     n_docs = docs.select("doc_id").filter(learn).count()
     prior = p.prior if p.prior is not None else (n_toxic / n_label if n_label else 0.01)
 
-    def sample(of: DataFrame, n: int, most: int) -> list[np.ndarray]:
-        """Chosen by the hash of the text: a copied text is taken or left as one."""
-        rate = min(1.0, most / max(n, 1))
-        mark = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20))
-        chosen = of.filter(mark < F.lit(int(rate * (1 << 20)))).select(to_features("text").alias("features"), F.xxhash64("text").alias("of")).dropDuplicates(["of"])
-        found = chosen.toArrow()
+    def gathered(chosen: DataFrame, most: int) -> list[np.ndarray]:
+        """The features of distinct texts, ordered by the hash of the text."""
+        found = chosen.select(to_features("text").alias("features"), F.xxhash64("text").alias("of")).dropDuplicates(["of"]).toArrow()
         order = np.argsort(found.column("of").to_numpy(), kind="stable")
         lists = found.column("features").combine_chunks()
         pointers, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         return [values[pointers[i] : pointers[i + 1]] for i in order[:most]]
 
-    toxic = known.filter(F.col("toxic") == 1).select("doc_id")
-    positive = sample(texts.join(toxic, "doc_id", "left_semi"), n_toxic, p.max_positive)
-    unlabelled = sample(texts, n_docs, p.max_unlabelled)
+    # At most max_positive ids: these are broadcast, so that no text moves to be chosen.
+    toxic = known.filter(F.col("toxic") == 1).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(p.max_positive).select("doc_id")
+    positive = gathered(texts.join(F.broadcast(toxic), "doc_id", "left_semi"), p.max_positive)
+    # A copied text is taken or left as one.
+    rate = min(1.0, p.max_unlabelled / max(n_docs, 1))
+    mark = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20))
+    unlabelled = gathered(texts.filter(mark < F.lit(int(rate * (1 << 20)))), p.max_unlabelled)
     return nnpu_fit(positive, unlabelled, prior, p)
 
 

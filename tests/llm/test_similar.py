@@ -1,11 +1,14 @@
-"""Exact similarity links against brute force."""
+"""Exact similarity links against brute force: whole, in blocks, and in one task."""
 
 from __future__ import annotations
 
 import random
 import re
 
-from symloom.llm import similar
+import numpy as np
+import pytest
+
+from symloom.llm import simhash, similar
 
 from .texts import DOCS, small_docs
 
@@ -28,7 +31,14 @@ def rows():
     return out
 
 
-def test_keeps_the_first_of_each_component(spark):
+def kept(docs):
+    return simhash.keep_first(docs, size=5, similarity=(4, 5))
+
+
+@pytest.mark.parametrize("shingles_of_block", [similar.BLOCK_SHINGLES, 400])
+def test_keeps_the_first_of_each_component(spark, monkeypatch, shingles_of_block):
+    whole = similar.components
+    monkeypatch.setattr(similar, "components", lambda *a: whole(*a, most_shingles=shingles_of_block))
     data = rows()
     sets = [shingles(t) for _, t, *_ in data]
     root, pairs = list(range(len(data))), 0
@@ -48,9 +58,31 @@ def test_keeps_the_first_of_each_component(spark):
     want = {}
     for k, (i, *_) in enumerate(data):
         want[find(k)] = min(want.get(find(k), 10**9), 10**9 if i is None else i)
-    got = [r["doc_id"] for r in similar.keep_first(spark.createDataFrame(data, DOCS)).collect()]
+    got = [r["doc_id"] for r in kept(spark.createDataFrame(data, DOCS)).collect()]
     assert sorted(10**9 if i is None else i for i in got) == sorted(want.values())
-    assert similar.keep_first(spark.createDataFrame([], DOCS)).collect() == []
+    assert kept(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_links_of_one_task_equal_brute_force():
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(120)]
+    sets = [np.unique(np.array(r.sample(base, r.randint(80, 120)) + [r.getrandbits(64) for _ in range(r.randint(0, 12))], np.uint64)) for _ in range(90)]
+    sets += [sets[0].copy(), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    got = similar.linked(sets, np.zeros(len(sets), np.int64), 4, 5)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if 9 * both >= 4 * (len(a) + len(b)):
+                root[find(i)] = find(j)
+    assert len({find(i) for i in range(len(sets))}) > 5
+    assert {frozenset(k for k in range(len(sets)) if got[k] == x) for x in set(got.tolist())} == {frozenset(k for k in range(len(sets)) if find(k) == x) for x in {find(k) for k in range(len(sets))}}
 
 
 def test_near_duplicates_stage_links_at_four_fifths(spark):
