@@ -65,10 +65,19 @@ def inside(facts: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
     return facts.join(places.select(*keys).distinct(), keys, "left_semi")
 
 
-def maximum_matching(near: list[list[int]], right: int) -> list[int]:
-    """Right partner of each left node (-1: none): shortest augmenting paths, lowest numbers first."""
-    owner, partner = [-1] * right, [-1] * len(near)
+def maximum_matching(near: list[list[int]], right: int, held: list[int] | None = None) -> list[int]:
+    """Right partner of each left node (-1: none): shortest augmenting paths, lowest numbers first.
+
+    held: a matching to begin with; its nodes stay matched, if need be to others.
+    """
+    partner = list(held) if held is not None else [-1] * len(near)
+    owner = [-1] * right
+    for left, r in enumerate(partner):
+        if r >= 0:
+            owner[r] = left
     for root in range(len(near)):
+        if partner[root] >= 0:
+            continue
         queue, reached_from = [root], {}
         for left in queue:
             free = None
@@ -102,8 +111,8 @@ def _spans_agree(a: tuple, b: tuple, policy: str) -> bool:
 def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap", prefix: str = "") -> DataFrame:
     """Facts of both sides, one row of each pair or of each fact left alone: status tp, fp or fn, tolerant or not.
 
-    Facts meet if they lie on one line of one file; pairs that agree exactly are matched first, the
-    rest by the policy, each time as many as can be, one to one. Kinds must agree where both have one;
+    Facts meet if they lie on one line of one file; as many as can be are matched, one to one: exact
+    pairs first, and from these on by the policy, which may match their facts anew. Kinds must agree where both have one;
     facts with a target must agree on it, or on the alternates of either. A fact without a place meets none.
     """
     columns = [f"{prefix}path" if prefix else "path", *[f"{prefix}{x}" for x in SPAN], "kind"]
@@ -127,16 +136,14 @@ def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap"
             sides = [[s for p in ("target_", "alternate_") if pd.notna((s := span(f, p))[0])] for f in (a, b)]
             return any(_spans_agree(x, y, how) for x in sides[0] for y in sides[1])
 
-        partner, tolerant = {}, set()
-        for how in dict.fromkeys(("exact", policy)):
-            ls = [i for i in range(len(left)) if i not in partner]
-            rs = [j for j in range(len(right)) if j not in set(partner.values())]
-            found = maximum_matching([[n for n, j in enumerate(rs) if agree(left[i], right[j], how)] for i in ls], len(rs))
-            for i, n in zip(ls, found):
-                if n >= 0:
-                    partner[i] = rs[n]
-                    if how != "exact":
-                        tolerant.add(i)
+        near = {how: [[j for j, o in enumerate(right) if agree(c, o, how)] for c in left] for how in dict.fromkeys(("exact", policy))}
+        found = maximum_matching(near["exact"], len(right))
+        if policy != "exact":
+            # From the exact pairs on, over all facts: a pair may be given up if both of its facts find another.
+            wider = [list(dict.fromkeys([*near["exact"][i], *near[policy][i]])) for i in range(len(left))]
+            found = maximum_matching(wider, len(right), found)
+        partner = {i: j for i, j in enumerate(found) if j >= 0}
+        tolerant = {i for i, j in partner.items() if j not in near["exact"][i]}
         rows = []
         for i, f in enumerate(left):
             rows.append((f[key[0]], f[key[1]], "tp" if i in partner else "fp", i in tolerant, f["_id"], right[partner[i]]["_id"] if i in partner else None))

@@ -99,8 +99,10 @@ def definitions_by_name(symbols: DataFrame) -> DataFrame:
     return real.groupBy("name").agg(F.array_sort(F.collect_set(row)).alias("definitions"))
 
 
-def _hits(symbols: DataFrame, query: str, kinds: Iterable[str]) -> DataFrame:
+def _hits(symbols: DataFrame, query: str, kinds: Iterable[str], index: DataFrame | None = None) -> DataFrame:
     low = query.lower()
+    if index is not None and len(query) >= LONG_QUERY:
+        symbols = symbols.join(trigram_hits(index, query), "id", "left_semi")
     found = F.lower("name").contains(low)
     if len(query) >= LONG_QUERY:
         found = found | F.coalesce(F.lower("qualified_name").contains(low), F.lit(False))
@@ -111,14 +113,15 @@ def search_count(symbols: DataFrame, query: str, kinds: Iterable[str] = ()) -> D
     return _hits(symbols, query, kinds).agg(F.count("*").alias("n"))
 
 
-def search(symbols: DataFrame, ranks: DataFrame, query: str, kinds: Iterable[str] = (), limit: int = 20, offset: int = 0) -> DataFrame:
+def search(symbols: DataFrame, ranks: DataFrame, query: str, kinds: Iterable[str] = (), limit: int = 20, offset: int = 0, index: DataFrame | None = None) -> DataFrame:
     """Symbols with the query in their name (or, from three letters on, qualified name).
 
     Exact names first, then names that contain it, by rank, names that begin with it, shorter names.
+    index: a trigram index of the symbols, which spares the scan of their texts.
     """
     low, name = query.lower(), F.lower("name")
     order = [F.desc(name == low), F.desc(name.contains(low)), F.desc("score"), F.desc(F.startswith(name, F.lit(low))), F.length("name"), "path", "name_start_line", "id"]
-    scored = _hits(symbols, query, kinds).join(ranks.select(F.col("symbol_id").alias("id"), "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = _hits(symbols, query, kinds, index).join(ranks.select(F.col("symbol_id").alias("id"), "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return scored.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -137,21 +140,39 @@ def nth_named(symbols: DataFrame, ranks: DataFrame, name: str, n: int) -> DataFr
 def symbols_at(symbols: DataFrame, points: DataFrame) -> DataFrame:
     """points(path, line) -> the symbol there: one declared on the line first, else the innermost that spans it.
 
-    An equi-join on the path with a range predicate; one row of each point is kept.
+    A point meets the symbols of its path whose span covers its line by way of blocks of lines: a span
+    is dealt to the blocks that it touches, a point to its own, so that a join key holds what lies near
+    one block and not a whole file.
     """
     real = symbols.filter(~F.col("is_synthetic"))
     first, last = F.coalesce("full_start_line", "name_start_line"), F.coalesce("full_end_line", "name_end_line")
     spanned = real.select("path", "id", "name_start_line", first.alias("first"), last.alias("last"))
-    near = points.select("path", "line").distinct().join(spanned, "path").filter(F.col("line").between(F.col("first"), F.col("last")))
-    order = W.partitionBy("path", "line").orderBy(F.desc(F.col("name_start_line") == F.col("line")), F.col("last") - F.col("first"), "id")
-    return near.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("path", "line", "id")
+    spanned = spanned.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK_LINES), F.floor(F.col("last") / BLOCK_LINES))))
+    asked = points.select("path", "line").distinct().withColumn("block", F.floor(F.col("line") / BLOCK_LINES))
+    near = asked.join(spanned, ["path", "block"]).filter(F.col("line").between(F.col("first"), F.col("last")))
+    order = F.struct((F.col("name_start_line") != F.col("line")).alias("a"), (F.col("last") - F.col("first")).alias("b"), "id")
+    return near.groupBy("path", "line").agg(F.min(order)["id"].alias("id"))
 
 
-def innermost(scopes: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Tightest scope (keys, id, lo, hi) around each point (keys, point, at): lo <= at < hi; latest start, earliest end, id."""
-    near = points.join(scopes, list(keys)).filter((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
-    order = W.partitionBy("point").orderBy(F.desc("lo"), "hi", "id")
-    return near.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("point", "id")
+BLOCK_LINES = 64
+
+
+def innermost(scopes: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("path",), width: int = 64, exclude: str | None = None) -> DataFrame:
+    """Tightest scope (keys, id, lo, hi) around each point (keys, point, at): lo <= at < hi; latest start, earliest end, id.
+
+    Scopes and points meet by key and block of `width`. exclude: a column of points with the id of a
+    scope that does not count (a span that is the point itself).
+    """
+    held = scopes.filter("lo < hi").withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    near = points.withColumn("_b", F.floor(F.col("at") / width)).join(held, [*keys, "_b"]).filter((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
+    near = near.filter(~F.col("id").eqNullSafe(F.col(exclude))) if exclude else near
+    return near.groupBy("point").agg(F.min_by("id", F.struct((-F.col("lo")).alias("a"), "hi", "id")).alias("id"))
+
+
+def reach(spans: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """spans(keys, lo, hi) with the furthest end up to each, in order of starts: where it is passed, nothing covers."""
+    order = W.partitionBy(*keys).orderBy("lo", F.desc("hi")).rowsBetween(W.unboundedPreceding, 0)
+    return spans.withColumn("reach", F.max("hi").over(order))
 
 
 def references(edges: DataFrame, target: str, least: float = 0.0, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -161,19 +182,39 @@ def references(edges: DataFrame, target: str, least: float = 0.0, limit: int = 5
     return own.orderBy(*place).offset(offset).limit(limit)
 
 
-def file_outline(symbols: DataFrame, path: str, levels: int = 8) -> DataFrame:
+def file_outline(symbols: DataFrame, path: str) -> DataFrame:
     """Navigable symbols of a file in the order of the text, with the number of shown symbols around each."""
+    from .graph import closure
+
     own = navigable(symbols).filter(F.col("path") == path)
-    up = own.select(F.col("id").alias("_id"), F.col("container_id").alias("_up"))
-    out = own.withColumn("_at", F.col("container_id")).withColumn("depth", F.lit(0))
-    for _ in range(levels):
-        out = out.join(up, F.col("_at") == F.col("_id"), "left")
-        out = out.withColumn("depth", F.col("depth") + F.when(F.col("_id").isNotNull(), 1).otherwise(0)).drop("_at", "_id").withColumnRenamed("_up", "_at")
-    return out.orderBy("name_start_line", "name_start_char", "id").select("id", "name", "kind", "name_start_line", "depth")
+    shown = own.select(F.col("id").alias("parent"))
+    up = own.select(F.col("id").alias("child"), F.col("container_id").alias("parent")).join(shown, "parent", "left_semi").select("child", "parent")
+    depths = closure(up).groupBy(F.col("child").alias("id")).agg(F.count("*").cast("int").alias("depth"))
+    out = own.join(depths, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    return out.orderBy("name_start_line", "name_start_char", "id").select("id", "name", "kind", "name_start_line", "depth", F.coalesce("signature", F.concat_ws(" ", "kind", "name")).alias("signature"))
+
+
+#: What separates the segments of a name path.
+SEPARATORS = r"::|[./\\]"
+
+
+def name_chain(name: Column, qualified: Column) -> Column:
+    """The containers that a qualified name tells, outermost first, and the name, which may hold separators itself."""
+    whole = F.coalesce(qualified, name)
+    before = F.substr(whole, F.lit(1), F.greatest(F.length(whole) - F.length(name) - 1, F.lit(0)))
+    inside = F.endswith(whole, F.concat(F.lit("."), name))
+    parts = lambda c: F.filter(F.split(c, SEPARATORS), lambda p: p != "")
+    split = parts(whole)
+    return F.when(whole == name, F.array(name)).when(inside, F.concat(parts(before), F.array(name))).when(F.size(split) > 0, split).otherwise(F.array(name))
 
 
-def name_paths(symbols: DataFrame) -> DataFrame:
-    """id -> names from the outermost container down, joined by slashes."""
+def name_path_of(name: Column, qualified: Column) -> Column:
+    """Ad/save: how answers spell a symbol, and what they take back."""
+    return F.array_join(name_chain(name, qualified), "/")
+
+
+def container_paths(symbols: DataFrame) -> DataFrame:
+    """id -> names from the outermost container down by the containers themselves, joined by slashes."""
     from .graph import container_chain
 
     chain = container_chain(symbols)
@@ -182,6 +223,29 @@ def name_paths(symbols: DataFrame) -> DataFrame:
     return parts.select("id", F.array_join(F.transform(F.reverse("parts"), lambda x: x["name"]), "/").alias("name_path"))
 
 
+name_paths = container_paths
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct three-character pieces of a text, lower-cased."""
+    low = F.lower(text)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))
+    return F.when(F.length(low) >= 3, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def trigram_index(symbols: DataFrame) -> DataFrame:
+    """(gram, id): an inverted index over the names and qualified names of navigable symbols."""
+    both = F.array_union(trigrams(F.col("name")), trigrams(F.coalesce("qualified_name", F.lit(""))))
+    return navigable(symbols).select(F.explode(both).alias("gram"), "id")
+
+
+def trigram_hits(index: DataFrame, query: str) -> DataFrame:
+    """ids that have every trigram of a query of three characters or more; a superset of those that hold it."""
+    low = query.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    return index.filter(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(grams)).select("id")
+
+
 def described(symbols: DataFrame, path: Column | None = None) -> DataFrame:
     """id -> one line: kind, name path or name, place."""
     at = path if path is not None else F.coalesce("qualified_name", "name")

@@ -101,49 +101,47 @@ def pool(symbols: DataFrame, ranks: DataFrame, budget: int, least_score: float =
 
 
 def choose(entries: list[Entry], containers: dict[str, Entry], budget: int, spread: float = 0.5, chars_per_token: float = CHARS_PER_TOKEN) -> list[Entry]:
-    """Lazy greedy: the best gain per token that fits, again and again.
+    """Greedy: of what fits, the best gain per token, again and again.
 
     The gain of a file's k-th symbol is its score / k ** spread; its cost is its own line, its file's
-    header if new, and the lines of containers that aren't shown yet. Entries come in rank order.
+    header (and the blank line before it) if new, and the lines of containers that aren't shown yet.
+    Entries come in rank order, which decides ties. The queue is keyed by what a symbol could be worth
+    at best, its score over its own line; a symbol is taken only if what it is worth now is no less
+    than the key of the next.
     """
     taken: dict[str, Entry] = {}
     in_file: dict[str, int] = {}
 
-    def line_cost(e: Entry) -> int:
-        return estimate_text(f"{e.line + 1:>5}  {e.signature}", chars_per_token)
+    def line(e: Entry) -> int:
+        return estimate_text(f"{e.line + 1:>5}  {e.signature}\n", chars_per_token)
 
     def missing(e: Entry) -> list[Entry]:
-        out, at, seen = [], e.container_id, set()
-        while at and at in containers and at not in taken and at not in seen:
-            seen.add(at)
+        out, at = [], e.container_id
+        while at in containers and at not in taken and containers[at] not in out:
             out.append(containers[at])
             at = containers[at].container_id
         return out
 
-    def value(e: Entry) -> tuple[float, int]:
-        cost = line_cost(e) + sum(map(line_cost, missing(e)))
-        if e.path not in in_file:
-            cost += estimate_text(f"{e.path}:\n", chars_per_token)
+    def now(e: Entry) -> tuple[float, int]:
+        cost = line(e) + sum(map(line, missing(e))) + (0 if e.path in in_file else estimate_text(f"{e.path}:\n", chars_per_token) + 1)
         return e.score / (in_file.get(e.path, 0) + 1) ** spread / cost, cost
 
-    heap = [(-value(e)[0], i) for i, e in enumerate(entries)]
-    heapq.heapify(heap)
+    queue = [(-e.score / line(e), i) for i, e in enumerate(entries)]
+    heapq.heapify(queue)
     left = budget
-    while heap and left > 0:
-        key, i = heapq.heappop(heap)
+    while queue and left > 0:
+        key, i = heapq.heappop(queue)
         e = entries[i]
         if e.id in taken:
             continue
-        now, cost = value(e)
-        if -now > key + 1e-15:  # what it was pushed with has become too good
-            heapq.heappush(heap, (-now, i))
-            continue
-        if cost > left:
-            continue
-        for x in [*missing(e), e]:
-            taken[x.id] = x
-        in_file[e.path] = in_file.get(e.path, 0) + 1
-        left -= cost
+        worth, cost = now(e)
+        if queue and -worth > queue[0][0] and -worth != key:
+            heapq.heappush(queue, (-worth, i))
+        elif cost <= left:
+            for x in [*missing(e), e]:
+                taken[x.id] = x
+            in_file[e.path] = in_file.get(e.path, 0) + 1
+            left -= cost
     return list(taken.values())
 
 
@@ -174,13 +172,13 @@ def render_map(symbols: DataFrame, ranks: DataFrame, budget: int, spread: float
     entries = [Entry(r["id"], r["path"], r["line"], r["signature"], r["score"], r["container_id"], r["kind"]) for r in held]
     found = {e.id: e for e in entries}
     want = {e.container_id for e in entries if e.container_id} - found.keys()
-    for _ in range(12):
-        if not want:
-            break
+    asked: set[str] = set()
+    while want:  # a round for each level of nesting; the pool is bounded, and an id is asked for once
+        asked |= want
         rows = symbols.filter(F.col("id").isin(sorted(want)) & ~F.col("is_synthetic")).select("id", "path", F.coalesce("signature", "name").alias("signature"), F.col("name_start_line").alias("line"), "container_id", "kind").collect()
         new = {r["id"]: Entry(r["id"], r["path"], r["line"], r["signature"], 0.0, r["container_id"], r["kind"]) for r in rows}
         found |= new
-        want = {e.container_id for e in new.values() if e.container_id} - found.keys()
+        want = {e.container_id for e in new.values() if e.container_id} - found.keys() - asked
     chosen = choose(entries, found, budget, spread, chars_per_token)
     text = render(chosen)
     while chosen and estimate_text(text, chars_per_token) > budget:

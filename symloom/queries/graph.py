@@ -86,7 +86,7 @@ def neighbours_d3(t):
 
 
 CHAIN = """RECURSIVE WITH up AS (SELECT id AS child, container_id AS parent FROM sym WHERE container_id IS NOT NULL),
-chain AS (SELECT child, parent AS ancestor, 1 AS depth FROM up UNION ALL SELECT chain.child, up.parent, depth + 1 FROM chain JOIN up ON up.child = ancestor WHERE depth < 12)"""
+chain AS (SELECT child, parent AS ancestor, 1 AS depth FROM up UNION ALL SELECT chain.child, up.parent, depth + 1 FROM chain JOIN up ON up.child = ancestor)"""
 
 
 @query(CHAIN + " SELECT child, ancestor, depth FROM chain")

@@ -50,9 +50,10 @@ def collision_rate(t):
     return L.collision_rate(t.symbols)
 
 
-@query("""SELECT 'edges' AS relation, count(*) AS rows FROM edge UNION ALL SELECT 'ranks', count(*) FROM ranks UNION ALL SELECT 'symbols', count(*) FROM sym""")
+@query("""SELECT 'edges' AS relation, count(*) AS rows FROM edge UNION ALL SELECT 'files', count(DISTINCT path) FROM sym UNION ALL SELECT 'ranks', count(*) FROM ranks UNION ALL SELECT 'refs', count(*) FROM edge WHERE site_path IS NOT NULL
+UNION ALL SELECT 'imports', count(*) FROM edge WHERE kind = 'imports' UNION ALL SELECT 'symbols', count(*) FROM sym""")
 def table_counts(t):
-    return L.table_counts({"symbols": t.symbols, "edges": t.edges, "ranks": t.ranks})
+    return L.table_counts({"symbols": t.symbols, "edges": t.edges, "ranks": t.ranks, "files": t.symbols.select("path").distinct(), "refs": t.edges.filter("site_path is not null"), "imports": t.edges.filter("kind = 'imports'")})
 
 
 @query("""SELECT kind, count(*) AS n FROM edge GROUP BY 1""")
@@ -60,9 +61,9 @@ def edges_by_kind(t):
     return L.edges_by_kind(t.edges)
 
 
-@query("""SELECT name, count(DISTINCT concat_ws(chr(31), id, kind, path, coalesce(container_id, ''), coalesce(signature, ''), CAST(is_local AS VARCHAR))) AS n FROM sym WHERE NOT is_synthetic GROUP BY 1""")
+@query("""SELECT name, md5(string_agg(d, chr(30) ORDER BY d)) AS definitions FROM (SELECT DISTINCT name, concat_ws(chr(31), id, kind, path, coalesce(container_id, ''), coalesce(signature, ''), CAST(is_local AS VARCHAR)) AS d FROM sym WHERE NOT is_synthetic) GROUP BY 1""")
 def definitions_by_name(t):
-    return L.definitions_by_name(t.symbols).select("name", F.size("definitions").cast("long").alias("n"))
+    return L.definitions_by_name(t.symbols).select("name", F.md5(F.array_join("definitions", "\x1e")).alias("definitions"))
 
 
 def _search_sql(q: str, where: str, limit: str, kinds: str = "") -> str:
@@ -111,9 +112,11 @@ def symbol_at(t):
     return L.symbols_at(t.symbols, t.symbols.select("path", (F.col("name_start_line") + 3).alias("line")))
 
 
-@query("""SELECT id, name, kind, name_start_line FROM sym WHERE NOT is_local AND NOT is_synthetic AND path = 'Brand#2/PROMO.py' ORDER BY name_start_line, id""")
+@query("""RECURSIVE WITH own AS (SELECT * FROM sym WHERE NOT is_local AND NOT is_synthetic AND path IN ('Brand#2/PROMO.py')),
+walk AS (SELECT id, container_id AS up, 0 AS depth FROM own UNION ALL SELECT walk.id, c.container_id, depth + 1 FROM walk JOIN own c ON c.id = walk.up)
+SELECT own.id, name, kind, name_start_line, CAST(max(depth) AS INTEGER) AS depth FROM own JOIN walk ON walk.id = own.id GROUP BY 1, 2, 3, 4""")
 def file_outline(t):
-    return L.file_outline(t.symbols, "Brand#2/PROMO.py").select("id", "name", "kind", "name_start_line")
+    return L.file_outline(t.symbols, "Brand#2/PROMO.py").select("id", "name", "kind", "name_start_line", "depth")
 
 
 @query("""SELECT src_id, kind, confidence, site_path FROM edge WHERE dst_id = '7' AND kind <> 'contains' AND confidence >= 0.92
@@ -127,10 +130,27 @@ def confident_uses(t):
     return L.confident(L.uses(t.edges), 0.98).select("src_id", "dst_id", "kind", "confidence", "site_path")
 
 
-@query("""WITH c AS (SELECT id, name, container_id FROM sym) SELECT a.id, concat_ws('/', f.name, e.name, d.name, b.name, a.name) AS name_path
-FROM c a LEFT JOIN c b ON b.id = a.container_id LEFT JOIN c d ON d.id = b.container_id LEFT JOIN c e ON e.id = d.container_id LEFT JOIN c f ON f.id = e.container_id""")
+@query("""RECURSIVE WITH walk AS (SELECT id, container_id AS up, name AS path, 0 AS depth FROM sym UNION ALL SELECT walk.id, c.container_id, concat(c.name, '/', path), depth + 1 FROM walk JOIN sym c ON c.id = walk.up)
+SELECT id, arg_max(path, depth) AS name_path FROM walk GROUP BY id""")
 def name_path(t):
-    return L.name_paths(t.symbols)
+    return L.container_paths(t.symbols)
+
+
+@query("""SELECT id, array_to_string(list_concat(list_filter(string_split(CASE WHEN qualified_name = name THEN '' ELSE left(qualified_name, length(qualified_name) - length(name) - 1) END, '.'), lambda x: x <> ''), [name]), '/') AS name_path FROM sym""")
+def qualified_path(t):
+    return t.symbols.select("id", L.name_path_of(F.col("name"), F.col("qualified_name")).alias("name_path"))
+
+
+@query("""WITH nav AS (SELECT id, lower(name) AS n, lower(qualified_name) AS q FROM sym WHERE NOT is_local AND NOT is_synthetic),
+grams AS (SELECT DISTINCT id, substr(n, i, 3) AS gram FROM (SELECT id, n, unnest(range(1, greatest(length(n) - 1, 1))) AS i FROM nav) UNION SELECT DISTINCT id, substr(q, i, 3) FROM (SELECT id, q, unnest(range(1, greatest(length(q) - 1, 1))) AS i FROM nav))
+SELECT gram, count(*) AS n FROM grams WHERE length(gram) = 3 GROUP BY 1""")
+def trigram_index(t):
+    return L.trigram_index(t.symbols).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(_search_sql("brand#2.small", "contains(lower(name), 'brand#2.small') OR contains(lower(qualified_name), 'brand#2.small')", "LIMIT 20"))
+def search_trigrams(t):
+    return _search(t, "Brand#2.small", index=L.trigram_index(t.symbols))
 
 
 @query("""SELECT id, concat(kind, ' ', qualified_name, '  ', path, ':', name_start_line + 1) AS line FROM sym""")
@@ -139,11 +159,11 @@ def described(t):
 
 
 @query("""WITH scopes AS (SELECT o_custkey, o_orderkey AS id, epoch(o_orderdate) // 86400 AS lo, epoch(o_orderdate) // 86400 + 90 + o_orderkey % 30 AS hi FROM orders),
-pts AS (SELECT o_custkey, o_orderkey AS point, epoch(o_orderdate) // 86400 + 10 AS pt FROM orders WHERE o_orderkey % 3 = 0),
+pts AS (SELECT o_custkey, o_orderkey AS point, epoch(o_orderdate) // 86400 + 10 AS pt FROM orders),
 near AS (SELECT point, id, row_number() OVER (PARTITION BY point ORDER BY lo DESC, hi, id) AS n FROM pts JOIN scopes USING (o_custkey) WHERE lo <= pt AND pt < hi) SELECT point, id FROM near WHERE n = 1""", prelude=None)
 def innermost_span(t):
     day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
     o = t["orders"].select("o_custkey", "o_orderkey", day.alias("d"))
     scopes = o.select("o_custkey", F.col("o_orderkey").alias("id"), F.col("d").alias("lo"), (F.col("d") + 90 + F.col("o_orderkey") % 30).alias("hi"))
-    points = o.filter("o_orderkey % 3 = 0").select("o_custkey", F.col("o_orderkey").alias("point"), (F.col("d") + 10).alias("at"))
+    points = o.select("o_custkey", F.col("o_orderkey").alias("point"), (F.col("d") + 10).alias("at"))
     return L.innermost(scopes, points, ("o_custkey",))

@@ -1 +1,7 @@
-"""Readers and writers: working trees, git revisions, third-party index files, the table store."""
+"""Sources: working trees, git revisions, indexes of other tools, fact files, prompts, transcripts, synthetic repositories."""
+
+from __future__ import annotations
+
+from .tree import GitRevision, Tree, WorkingTree
+
+__all__ = ["GitRevision", "Tree", "WorkingTree"]
