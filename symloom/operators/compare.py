@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -179,6 +178,3 @@ def failing(report: Comparison, least: dict[str, float]) -> list[str]:
     """Which floors are not reached; least: definitions or references -> F1."""
     return [f"{k}: F1 {getattr(report, k)['f1']:.3f} is below {floor:g}" for k, floor in sorted(least.items()) if getattr(report, k)["f1"] < floor]
 
-
-def score_table(rows: Iterable[dict]) -> str:
-    return json.dumps(list(rows), sort_keys=True)

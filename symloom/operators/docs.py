@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import basename
 from .lookup import symbols_at
 
 #: A path with a known suffix between backticks, and a line or a range of lines after it.
@@ -65,6 +64,3 @@ def claim_report(checked: DataFrame) -> DataFrame:
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
     return checked.agg(F.count("*").alias("claims"), *[n(s) for s in ("ok", "stale", "unindexed", "ambiguous")])
 
-
-def by_basename(paths: DataFrame) -> DataFrame:
-    return paths.select(basename(F.col("path")).alias("base"), "path")

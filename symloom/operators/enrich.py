@@ -29,7 +29,7 @@ def relative_path(path: Column, root: str, prefix: str = "") -> Column:
 
 def line_starts(contents: DataFrame) -> DataFrame:
     """contents(path, content) -> (path, starts): the byte offset at which each line begins."""
-    sizes = F.transform(F.split(F.decode(F.col("content"), F.lit("ISO-8859-1")), "\n"), lambda x: F.length(x) + 1)
+    sizes = F.transform(F.split(F.decode("content", "ISO-8859-1"), "\n"), lambda x: F.length(x) + 1)
     grown = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     return contents.select("path", F.slice(grown, 1, F.size(grown) - 1).alias("starts"))
 

@@ -6,7 +6,6 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import normalise_path
@@ -92,7 +91,9 @@ def maximum_matching(near: list[list[int]], right: int, held: list[int] | None =
             if free is not None:
                 while free >= 0:
                     left = reached_from[free]
-                    free, partner[left], owner[free] = partner[left], free, left
+                    given_up = partner[left]
+                    partner[left], owner[free] = free, left
+                    free = given_up
                 break
     return partner
 
@@ -229,6 +230,3 @@ def calibration_pairs(matched: DataFrame, facts: DataFrame) -> DataFrame:
     told = matched.filter(F.col("c_id").isNotNull()).groupBy("c_id").agg(F.max((F.col("status") == "tp").cast("int")).alias("ok"))
     return keyed.join(told, "c_id").groupBy("c_id").agg(F.max("confidence").alias("confidence"), F.max("ok").alias("ok")).select("confidence", (F.col("ok") == 1).alias("correct"))
 
-
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

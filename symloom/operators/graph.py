@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import is_private, mention_keys
@@ -50,31 +52,51 @@ def personalisation(symbols: DataFrame, focus: Iterable[str] = (), boost: float
     return raw.crossJoin(F.broadcast(total)).select("id", even.alias("r"))  # one row of totals
 
 
-def pagerank(symbols: DataFrame, weights: DataFrame, focus: Iterable[str] = (), damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-6, most: int = 100, every: int = 4) -> DataFrame:
-    """(id, score): the personalised walk; a given number of steps, or until the change is below the tolerance.
+#: Graphs of at most so many nodes and edges are walked in arrays on the driver; larger ones by joins, with the same result.
+MOST_LOCAL = 4_000_000
 
-    Edges and start weights are partitioned and cut once; a step is one join and one aggregation, and
-    the lineage is cut every few steps by a checkpoint.
-    """
+
+def pagerank(symbols: DataFrame, weights: DataFrame, focus: Iterable[str] = (), damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-6, most: int = 100, most_local: int = MOST_LOCAL) -> DataFrame:
+    """(id, score): the personalised walk; a given number of steps, or until the change is below the tolerance."""
     start = cut(personalisation(symbols, focus))
+    steps, tolerance = (iterations, -1.0) if iterations is not None else (most, tolerance)
+    weights = cut(weights)
+    if start.count() + weights.count() <= most_local:
+        return _walk_in_arrays(start, weights, damping, steps, tolerance)
+    return _walk_by_joins(start, weights, damping, steps, tolerance)
+
+
+def _walk_in_arrays(start: DataFrame, weights: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
+    nodes, edges = start.orderBy("id").toArrow(), weights.orderBy("src", "dst").toArrow()
+    ids = nodes["id"].combine_chunks()
+    r = nodes["r"].to_numpy()
+    src, dst = (pc.index_in(edges[c].combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("src", "dst"))
+    w = edges["w"].to_numpy()
+    total = np.bincount(src, w, len(r))
+    p = w / total[src]
+    ends = total == 0
+    x = r.copy()
+    for _ in range(steps):
+        before, x = x, (1 - damping + damping * x[ends].sum()) * r + damping * np.bincount(dst, x[src] * p, len(r))
+        if np.abs(x - before).sum() < tolerance:
+            break
+    return start.sparkSession.createDataFrame(pa.table({"id": ids, "score": x}))
+
+
+def _walk_by_joins(start: DataFrame, weights: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
+    """A step is one join and one aggregation over tables that are partitioned alike; its state is a table of its own, so that plans do not grow."""
     total = weights.groupBy("src").agg(F.sum("w").alias("total"))
     moves = cut(weights.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
     # Nodes that nothing leaves give their mass back to the start weights.
-    ends = start.join(moves.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(1.0).alias("ends"))
-    held = cut(start.join(ends, "id", "left").select("id", "r", F.coalesce("ends", F.lit(0.0)).alias("ends")))
-    now = held.select("id", F.col("r").alias("x"), "r", "ends")
-    for step in range(1, (iterations or most) + 1):
+    inner = total.select(F.col("src").alias("id"), F.lit(0.0).alias("ends"))
+    now = cut(start.join(inner, "id", "left").select("id", "r", F.coalesce("ends", F.lit(1.0)).alias("ends"), F.col("r").alias("x"), F.lit(None).cast("double").alias("before")))
+    for _ in range(steps):
+        loose, change = now.agg(F.coalesce(F.sum(F.col("x") * F.col("ends")), F.lit(0.0)), F.sum(F.abs(F.col("x") - F.col("before")))).first()
+        if change is not None and change < tolerance:
+            break
         flow = now.join(moves, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("flow"))
-        loose = now.agg(F.coalesce(F.sum(F.col("x") * F.col("ends")), F.lit(0.0)).alias("loose"))
-        nxt = now.join(flow, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(loose))  # one row
-        value = (F.lit(1 - damping) + F.lit(damping) * F.col("loose")) * F.col("r") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))
-        nxt = nxt.select("id", F.col("x").alias("before"), value.alias("x"), "r", "ends")
-        checked = iterations is None
-        if checked or step % every == 0:
-            nxt = cut(nxt)
-        if checked and (nxt.agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0] or 0.0) < tolerance:
-            return nxt.select("id", F.col("x").alias("score"))
-        now = nxt.select("id", "x", "r", "ends")
+        value = F.lit(1 - damping + damping * loose) * F.col("r") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))
+        now = cut(now.join(flow, F.col("id") == F.col("dst"), "left").select("id", "r", "ends", value.alias("x"), F.col("x").alias("before")))
     return now.select("id", F.col("x").alias("score"))
 
 
@@ -94,12 +116,15 @@ def neighbours(edges: DataFrame, start: str, direction: str = "out", depth: int
     own = of_kinds(edges, kinds, EDGE_KINDS).filter(F.col("confidence") >= least)
     out = own.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     steps = {"out": out, "in": out.select(F.col("b").alias("a"), F.col("a").alias("b"))}
-    hop = (steps["out"].unionByName(steps["in"]) if direction == "both" else steps[direction]).distinct()
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("depth"))
+    hop = steps["out"].unionByName(steps["in"]) if direction == "both" else steps[direction]
+    if depth == 1:
+        return hop.filter((F.col("a") == start) & (F.col("b") != start)).select(F.col("b").alias("id"), F.lit(1).alias("depth")).distinct()
+    hop = cut(hop)
+    seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
     frontier = seen
     for d in range(1, depth + 1):
         reached = frontier.join(hop, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.filter("depth > 0")
 
@@ -142,9 +167,17 @@ def enclosing_types(symbols: DataFrame) -> DataFrame:
 
 
 def descendants(symbols: DataFrame, root: str) -> DataFrame:
-    """Symbols inside one, in the order of the text, with their depth below it."""
-    chain = container_chain(symbols).filter((F.col("ancestor") == root) & (F.col("depth") > 0)).select("id", "depth")
-    return symbols.join(chain, "id").orderBy("path", "name_start_line", "name_start_char", "id").select("id", "name", "kind", "depth")
+    """Symbols inside one, in the order of the text, with their depth below it: level by level from the root."""
+    up = symbols.select(F.col("id").alias("child"), F.col("container_id").alias("parent")).filter("parent is not null")
+    seen = symbols.sparkSession.createDataFrame([(root, 0)], "id string, depth int")
+    frontier = seen
+    for d in range(1, MOST_LEVELS + 2):
+        below = frontier.join(up, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
+        frontier = cut(below.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            return symbols.join(seen.filter("depth > 0"), "id").orderBy("path", "name_start_line", "name_start_char", "id").select("id", "name", "kind", "depth")
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"chains of over {MOST_LEVELS} levels")
 
 
 def with_ancestors(symbols: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -202,6 +235,3 @@ def seeds_for(symbols: DataFrame, words: DataFrame) -> DataFrame:
     asked = words.select("word", F.lower("word").alias("key")).distinct()
     return asked.join(mention_index(symbols), "key", "left").select("word", "id")
 
-
-def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -187,11 +187,3 @@ def render_map(symbols: DataFrame, ranks: DataFrame, budget: int, spread: float
         text = render(chosen)
     return text, chosen
 
-
-def skip_fit(costs: list[int], limit: int) -> list[bool]:
-    """Which of a list of costs fit, if those that don't are skipped and later ones still tried."""
-    out, left = [], limit
-    for c in costs:
-        out.append(c <= left)
-        left -= c if c <= left else 0
-    return out

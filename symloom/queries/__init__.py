@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import evaluation, graph, lookup, scalars, selection, upkeep  # noqa: F401  (they register themselves)
+from . import evaluation, graph, lookup, resolution, scalars, selection, upkeep  # noqa: F401  (they register themselves)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -108,3 +108,64 @@ SELECT shape, candidates, seen, candidates >= 30 AND seen < candidates * 0.5 AS
 def shape_coverage(t):
     seen = t.edges.filter("kind = 'calls'").select(F.col("dst_id").alias("id"))
     return E.shape_coverage(t.symbols.select(F.col("kind").alias("shape"), "id"), seen, ["id"], 30, 0.5)
+
+
+def _reference_sides(t):
+    """Edges as facts: the site's line stands for the place, the target's line for what is meant."""
+    s = t.symbols.withColumns({"name_end_line": F.col("name_start_line"), "path": F.concat("path", F.lit("|"), "id")})
+    spans = {"site_end_line": F.col("site_start_line"), "site_end_char": F.col("site_start_char") + 1}
+    edges = t.edges.withColumns(spans).withColumn("site_path", F.concat("site_path", F.lit("|"), "src_id"))
+    facts, dropped = E.reference_facts(s, edges)
+    return facts, dropped
+
+
+@query("""SELECT group_ AS kind, count(*) AS n FROM (SELECT CASE WHEN e.kind IN ('calls', 'references', 'uses_type', 'imports', 'inherits') THEN 'reference-like' ELSE e.kind END AS group_ FROM edge e JOIN sym d ON d.id = dst_id WHERE e.kind <> 'contains' AND site_path IS NOT NULL AND NOT d.is_synthetic AND NOT d.is_local AND d.kind <> 'unknown'
+UNION ALL SELECT 'inheritance-like' FROM edge e JOIN sym d ON d.id = dst_id JOIN sym s ON s.id = src_id WHERE e.kind = 'inherits' AND NOT d.is_synthetic AND NOT s.is_synthetic AND NOT d.is_local AND d.kind <> 'unknown') GROUP BY 1""")
+def reference_facts(t):
+    return _reference_sides(t)[0].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS n FROM edge e LEFT JOIN sym d ON d.id = dst_id AND NOT d.is_synthetic WHERE e.kind <> 'contains' AND (d.id IS NULL OR (site_path IS NULL AND e.kind <> 'inherits'))""")
+def edges_without_facts(t):
+    return _reference_sides(t)[1].agg(F.count("*").alias("n"))
+
+
+_CLAIMS = """c AS (SELECT DISTINCT concat(site_path, '|', src_id) AS p, site_start_line AS l, site_start_char AS ch, CASE WHEN e.kind IN ('calls', 'references', 'uses_type', 'imports', 'inherits') THEN 'reference-like' ELSE e.kind END AS k, dst_id FROM edge e JOIN sym d ON d.id = dst_id
+ WHERE e.kind <> 'contains' AND site_path IS NOT NULL AND NOT d.is_synthetic AND NOT d.is_local AND d.kind <> 'unknown' UNION SELECT DISTINCT concat(s.path, '|', s.id), s.name_start_line, 0, 'inheritance-like', dst_id FROM edge e JOIN sym d ON d.id = dst_id JOIN sym s ON s.id = src_id WHERE e.kind = 'inherits' AND NOT d.is_synthetic AND NOT s.is_synthetic AND NOT d.is_local AND d.kind <> 'unknown'),
+o AS (SELECT * FROM c WHERE CAST(dst_id AS BIGINT) % 11 <> 0)"""
+
+
+@query(f"""WITH {_CLAIMS} SELECT CAST(count(*) FILTER (WHERE CAST(dst_id AS BIGINT) % 11 <> 0) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE CAST(dst_id AS BIGINT) % 11 = 0) AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn FROM c""")
+def match_references(t):
+    facts = _reference_sides(t)[0].drop("confidence").distinct()
+    oracle = facts.filter(F.substring_index("target_path", "|", -1).cast("long") % 11 != 0)
+    return M.pooled(E.by_path(E.match_facts(facts, oracle, "exact", "site_"), "site_path")).select("tp", "fp", "fn")
+
+
+_ANSWERS = """a AS (SELECT o_custkey AS task, CAST(o_orderkey % 40 AS INTEGER) AS line, CONCAT('f', o_orderkey % 3) AS path, o_orderkey FROM orders), truth AS (SELECT DISTINCT task, path, line AS id FROM a WHERE o_orderkey % 2 = 0), said AS (SELECT DISTINCT task, path, line AS id FROM a WHERE o_orderkey % 4 < 3)"""
+
+
+@query(f"""WITH {_ANSWERS}, sr AS (SELECT task, avg(CASE WHEN id IN (SELECT id FROM said s WHERE s.task = t.task) THEN 1 ELSE 0 END) AS r FROM (SELECT DISTINCT task, id FROM truth) t GROUP BY task),
+f AS (SELECT coalesce(t.task, s.task) AS task, count(*) FILTER (WHERE t.path IS NOT NULL AND s.path IS NOT NULL) AS b, count(t.path) AS tn, count(s.path) AS sn FROM (SELECT DISTINCT task, path FROM truth) t FULL JOIN (SELECT DISTINCT task, path FROM said) s ON s.task = t.task AND s.path = t.path GROUP BY 1)
+SELECT task, round(r, 9) AS symbol_recall, round(CASE WHEN tn > 0 THEN b / tn ELSE 0 END, 9) AS file_recall, round(CASE WHEN sn > 0 THEN b / sn ELSE 0 END, 9) AS file_precision FROM sr JOIN f USING (task)""", prelude=None)
+def location_scores(t):
+    k = F.col("o_orderkey")
+    own = t["orders"].select(F.col("o_custkey").alias("task"), (k % 40).cast("int").alias("id"), F.concat(F.lit("f"), k % 3).alias("path"), k.alias("k"))
+    said = own.filter("k % 4 < 3").withColumn("ordinal", F.lit(0))
+    return M.score_locations(said, own.filter("k % 2 = 0")).select("task", rounded("symbol_recall"), rounded("file_recall"), rounded("file_precision"))
+
+
+@query("""WITH d AS (SELECT o_custkey AS task, o_orderkey // 7 AS line, o_orderkey FROM orders), a AS (SELECT DISTINCT task, line FROM d WHERE o_orderkey % 2 = 0), s AS (SELECT DISTINCT task, line FROM d WHERE o_orderkey % 3 = 0)
+SELECT task, CAST(count(*) FILTER (WHERE b) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE x AND NOT b) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE NOT x AND NOT b) AS BIGINT) AS fn FROM (SELECT coalesce(a.task, s.task) AS task, a.line IS NOT NULL AS x, a.line IS NOT NULL AND s.line IS NOT NULL AS b FROM a FULL JOIN s USING (task, line)) GROUP BY 1""", prelude=None)
+def site_matches(t):
+    """Exact lines only, which SQL can say; the slack is tested on a fixture."""
+    k = F.col("o_orderkey")
+    own = t["orders"].select(F.col("o_custkey").alias("task"), F.lit("p").alias("path"), F.floor(k / 7).cast("int").alias("line"), k.alias("k"))
+    return E.slack_matches(own.filter("k % 2 = 0"), own.filter("k % 3 = 0"), 0)
+
+
+@query("""WITH out AS (SELECT confidence, kind = 'calls' AS correct FROM edge WHERE confidence >= 0.9), b AS (SELECT avg(confidence) AS m, avg(CAST(correct AS INTEGER)) AS p, count(*) AS n, CASE WHEN confidence < 0.925 THEN 4 WHEN confidence < 0.975 THEN 5 ELSE 6 END AS bin FROM out GROUP BY 4)
+SELECT bin, n AS "count" FROM b WHERE n >= 5 AND m - p > 0.1""")
+def overconfident(t):
+    out = t.edges.filter("confidence >= 0.9").select("confidence", (F.col("kind") == "calls").alias("correct"))
+    return M.overconfident_bins(M.calibration_bins(out)).select("bin", "count")

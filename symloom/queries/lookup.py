@@ -130,8 +130,8 @@ def confident_uses(t):
     return L.confident(L.uses(t.edges), 0.98).select("src_id", "dst_id", "kind", "confidence", "site_path")
 
 
-@query("""RECURSIVE WITH walk AS (SELECT id, container_id AS up, name AS path, 0 AS depth FROM sym UNION ALL SELECT walk.id, c.container_id, concat(c.name, '/', path), depth + 1 FROM walk JOIN sym c ON c.id = walk.up)
-SELECT id, arg_max(path, depth) AS name_path FROM walk GROUP BY id""")
+@query("""RECURSIVE WITH walk AS (SELECT id, container_id AS up, name AS path, 0 AS depth FROM sym UNION ALL SELECT walk.id, c.container_id, concat(c.name, '/', walk.path), depth + 1 FROM walk JOIN sym c ON c.id = walk.up)
+SELECT id, arg_max(walk.path, depth) AS name_path FROM walk GROUP BY id""")
 def name_path(t):
     return L.container_paths(t.symbols)
 

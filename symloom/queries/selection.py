@@ -22,12 +22,12 @@ def skeleton_budget(t):
     return S.skeleton_prefix(t.symbols, 2000).select("id", "spent")
 
 
-@query(f"""WITH files AS (SELECT concat(lang, '/', source, '/', doc_id) AS p, {_TOKENS.format('text')} AS tokens FROM documents WHERE text IS NOT NULL),
-every AS (SELECT 0 AS level, '' AS path, tokens FROM files UNION ALL SELECT 1, split_part(p, '/', 1), tokens FROM files UNION ALL SELECT 2, concat(split_part(p, '/', 1), '/', split_part(p, '/', 2)), tokens FROM files)
-SELECT level, path, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS files FROM every GROUP BY 1, 2""", prelude=None)
+@query(f"""WITH files AS (SELECT concat(lang, '/', source, '/', doc_id) AS p, {_TOKENS.format('text')} AS tokens, doc_id % 9 AS symbols FROM documents WHERE text IS NOT NULL),
+every AS (SELECT 0 AS level, '' AS path, tokens, symbols FROM files UNION ALL SELECT 1, split_part(p, '/', 1), tokens, symbols FROM files UNION ALL SELECT 2, concat(split_part(p, '/', 1), '/', split_part(p, '/', 2)), tokens, symbols FROM files)
+SELECT level, path, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS files, CAST(sum(symbols) AS BIGINT) AS symbols FROM every GROUP BY 1, 2""", prelude=None)
 def token_rollup(t):
-    files = t["documents"].filter("text is not null").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), K.estimate(F.col("text")).alias("tokens"), F.lit(0).alias("symbols"))
-    return S.token_tree(files, 2).select("level", "path", "tokens", "files")
+    files = t["documents"].filter("text is not null").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), K.estimate(F.col("text")).alias("tokens"), (F.col("doc_id") % 9).alias("symbols"))
+    return S.token_tree(files, 2).select("level", "path", "tokens", "files", "symbols")
 
 
 _SCORED = "WITH scored AS (SELECT id, path, score FROM sym JOIN ranks ON symbol_id = id)"
@@ -52,3 +52,14 @@ def repo_map(t):
     """The map as lines; greedy choice over a bounded pool, which SQL cannot say."""
     text, _ = S.render_map(t.symbols, t.ranks, 2000)
     return t.spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "n int, line string")
+
+
+@query(f"""WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS INTEGER) AS line, left(text, 120) AS text FROM conversations WHERE contains(lower(text), 'the') AND NOT contains(text, chr(10))), b AS (SELECT path, count(*) AS hits FROM l GROUP BY path),
+r AS (SELECT l.path, line, text, CAST(sum({_TOKENS.format('text')} + 1) OVER (ORDER BY hits DESC, l.path, line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM l JOIN b ON b.path = l.path) SELECT path, line, spent FROM r WHERE spent <= 3000""", prelude=None)
+def grep_prefix(t):
+    """Turns as the lines of a file that a conversation is."""
+    turns = t["conversations"].filter(~F.col("text").contains("\n")).select(F.col("conv_id").cast("string").alias("path"), "turn", "text")
+    last = turns.agg(F.max("turn")).first()[0] or 0
+    rows = F.transform(F.sequence(F.lit(0), F.lit(int(last))), lambda i: F.coalesce(F.try_element_at("x", i.cast("bigint")), F.lit("")))
+    files = turns.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("bigint"), "text"))).alias("x")).select("path", F.array_join(rows, "\n").alias("content"))
+    return S.grep_prefix(files, ["THE"], 3000).select("path", "line", "spent")

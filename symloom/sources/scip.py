@@ -97,7 +97,7 @@ def split_header(text: str) -> list[str]:
                 continue
             parts.append("")
         else:
-            parts[-1] += "`" if c == "``" else c
+            parts[-1] += c
         i += 1
     return parts
 

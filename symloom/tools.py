@@ -153,8 +153,8 @@ class Tools:
         whole, wanted = rest.startswith(("/", "\\")), segments(rest)
         if not wanted:
             raise ToolError(f"{reference!r} names nothing; try a name path such as Ad/save")
-        fits = lambda s: (c := name_path(s).split("/")) == wanted if whole else c[-len(wanted) :] == wanted
-        found = [s for s in self._named(wanted[-1], scope) if fits(s)]
+        chains = [(s, name_path(s).split("/")) for s in self._named(wanted[-1], scope)]
+        found = [s for s, chain in chains if (chain if whole else chain[-len(wanted) :]) == wanted]
         if not found and len(wanted) > 1:
             raise self._no_member(wanted, scope)
         if not found and not whole:
