@@ -150,8 +150,19 @@ def folded(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Trigrams of an alternative that are indexed; letters that are common in texts of many languages.
+INDEXED, _COMMON = 2, "etaoinsr hld"
+
+
+def index_query(pattern: str) -> Query:
+    """The trigram query with the INDEXED rarest trigrams of each alternative: fewer only let more candidates through."""
+    query = trigram_query(pattern)
+    rare = lambda g: (sum(c in _COMMON for c in g), g)
+    return None if query is None else frozenset(frozenset(sorted(need, key=rare)[:INDEXED]) for need in query)
+
+
 def needed_grams(rules: tuple[Rule, ...]) -> list[str]:
-    return sorted({g for r in rules for need in trigram_query(r.pattern) or () for g in need})
+    return sorted({g for r in rules for need in index_query(r.pattern) or () for g in need})
 
 
 def posting_lists(docs: DataFrame, rules: tuple[Rule, ...] = RULES, shards: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,7 +178,7 @@ def candidates(index: DataFrame, *rules: Rule) -> DataFrame:
 
     Unions of intersections of posting lists, shard by shard.
     """
-    queries = [trigram_query(r.pattern) for r in rules]
+    queries = [index_query(r.pattern) for r in rules]
     if None in queries:
         raise ValueError(f"{rules[queries.index(None)].kind} has no mandatory trigram: scan all documents")
     kind = index.schema["doc_ids"].dataType
