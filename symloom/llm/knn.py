@@ -14,8 +14,8 @@ with blocked matrix products; of a part, only scores that a query does not surel
 Defined cases: vectors that are null, hold a null or a component that is not finite take no part;
 vectors of different lengths score over the positions that both have (the shorter is filled with
 zeros); ties go to the smaller vec_id; rows with the vec_id of the query are the query's own; equal
-rows (vec_id and vector) count once; a null vec_id takes no part; fewer than k candidates give fewer
-rows; an empty table gives an empty result; extra columns are ignored.
+rows (vec_id and vector) are candidates each, and one query; a null vec_id takes no part; fewer than
+k candidates give fewer rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, piv
             away = np.sqrt(((points - c[cell]) ** 2).sum(1))
             yield f.assign(cell=cell.astype(np.int32), away=away)
 
-    dealt = cut(whole.distinct().mapInPandas(deal, "vec_id long, v array<long>, cell int, away double"), "cells")
+    dealt = cut(whole.mapInPandas(deal, "vec_id long, v array<long>, cell int, away double"), "cells")
     asked = dealt.filter(queries)
 
     # Summaries: per cell the count, the radius, and a histogram of distances from which the ladder is read.
@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, piv
     sure, wanted = _group_bounds(centre, radius, reach, ladder, steps, k)
     parts = _table({c: -(-n // part) for c, (n, _) in radius.items()})
     data = dealt.select(F.col("cell").alias("d_cell"), F.pmod(F.xxhash64("vec_id"), parts("cell")).cast("int").alias("d_part"), F.col("vec_id"), F.col("v").alias("d_v"))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q_v"), F.col("cell").alias("own"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q_v"), F.col("cell").alias("own")).distinct()
 
     own = asked.select("query_id", "q_v", F.col("own").alias("cell"), _table(sure)("own").cast("double").alias("least"))
     near = cut(_solve(own, data, parts, k, part), "near")
@@ -222,6 +222,6 @@ def _solve(sent: DataFrame, data: DataFrame, parts, k: int, part: int) -> DataFr
 def merged(local: DataFrame, k: int) -> DataFrame:
     """The k best of each query's local answers."""
     key = F.struct((-F.col("score")).alias("low"), "vec_id")
-    best = local.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(key)), 1, k).alias("best"))
+    best = local.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.low")).alias("score"))

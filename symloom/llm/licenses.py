@@ -14,11 +14,13 @@ The index holds the templates alone, a parameter of fixed size; texts are never
 Defined cases: a null text is an empty text and has no matches; a template of fewer than
 gram + window - 1 words is refused; repeated rows are scanned each; spans are in code points, end
 exclusive, over whole words; ties go to the earlier place; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored; a text is one chunk of work however long it is, at some 60 bytes of memory
+a byte of text.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -128,8 +130,12 @@ def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int, diagon
     return best[1], best[2], best[3]
 
 
-def matches(index: Index, words: np.ndarray, low: int, high: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first word, end word) in one document, words[low:high]; hits: (template, diagonal)."""
+def matches(index: Index, words: np.ndarray, low: int, high: int, hits: list[tuple[int, int]], overlapping: bool = True) -> list[tuple[int, int, int, int]]:
+    """(template, matched words, first word, end word) in one document, words[low:high]; hits: (template, diagonal).
+
+    overlapping: where templates match the same words, all are told; else the one with the most matched
+    words, then the greatest coverage, then the first name.
+    """
     p, found = index.p, []
     by_template: dict[int, list[int]] = defaultdict(list)
     for k, diagonal in hits:
@@ -155,10 +161,18 @@ def matches(index: Index, words: np.ndarray, low: int, high: int, hits: list[tup
             if all(end <= a or first >= b for a, b in taken):
                 taken.append((first, end))
                 found.append((k, m, first, end))
+    if not overlapping:
+        best: list[tuple[int, int, int, int]] = []
+        for x in sorted(found, key=lambda x: (-x[1], -x[1] / len(index.words[x[0]]), index.names[x[0]], x[2])):
+            # Chosen stretches are disjoint, so that the one before a place is all that must be looked at.
+            at = bisect.bisect_left(best, x[2], key=lambda b: b[2])
+            if (at == len(best) or x[3] <= best[at][2]) and (at == 0 or best[at - 1][3] <= x[2]):
+                best.insert(at, x)
+        found = best
     return sorted(found, key=lambda x: (x[2], x[3], index.names[x[0]]))
 
 
-def license_lists(array: pa.Array, index: Index) -> list[list[dict]]:
+def license_lists(array: pa.Array, index: Index, overlapping: bool = True) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(array))]
     for row, _, body, at in chunks(array):
         start, end, doc, words = words_of(body, at)
@@ -173,7 +187,7 @@ def license_lists(array: pa.Array, index: Index) -> list[list[dict]]:
                 own[int(doc[place[x]])].append((k, int(place[x]) - t))
         for d, hits in own.items():
             low, high = np.searchsorted(doc, [d, d + 1])
-            found = matches(index, words, int(low), int(high), hits)
+            found = matches(index, words, int(low), int(high), hits, overlapping)
             if not found:
                 continue
             text = body[at[d] : at[d + 1]]
@@ -184,8 +198,11 @@ def license_lists(array: pa.Array, index: Index) -> list[list[dict]]:
     return out
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, p: LicenseParams = LicenseParams()) -> DataFrame:
-    """doc_id, matches (array of license, start, end, matched words, coverage; by place) of every row."""
+def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, p: LicenseParams = LicenseParams(), overlapping: bool = True) -> DataFrame:
+    """doc_id, matches (array of license, start, end, matched words, coverage; by place) of every row.
+
+    overlapping: tell all templates that match the same words, or the best of them alone.
+    """
     spark = docs.sparkSession
     limit_batches(spark)
     held = spark.sparkContext.broadcast(Index(templates, p))  # the templates, whatever the input
@@ -193,6 +210,6 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, p: L
 
     @F.arrow_udf("array<struct<license:string,start:long,end:long,matched:int,coverage:double>>")
     def scan(text: pa.Array) -> pa.Array:
-        return pa.array(license_lists(text, held.value), kind)
+        return pa.array(license_lists(text, held.value, overlapping), kind)
 
     return docs.select("doc_id", scan(text_bytes(F.col("text"))).alias("matches"))

@@ -14,7 +14,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.license_matches(read_table(spark, sf_dir, "documents"))
+    found = licenses.license_matches(read_table(spark, sf_dir, "documents"), overlapping=False)
     told = F.transform("matches", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), F.round(x["coverage"], 4).cast("string")))
     return found.select(
         "doc_id",

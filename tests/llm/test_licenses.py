@@ -73,3 +73,10 @@ def test_equals_full_alignment(spark):
 
 def test_empty(spark):
     assert licenses.license_matches(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_best_of_overlapping(spark):
+    texts = ["Licensed under CC BY-NC 4.0", "x Licensed under CC BY 4.0 y", licenses.TEMPLATES["apache-2.0-notice"] + " and " + licenses.TEMPLATES["mit"]]
+    docs = spark.createDataFrame([(i, t, "s", "x", 0.0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.license_matches(docs, overlapping=False).collect()}
+    assert got == {0: ["cc-by-nc-4.0"], 1: ["cc-by-4.0"], 2: ["apache-2.0-notice", "mit"]}
