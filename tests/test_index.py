@@ -175,7 +175,7 @@ def test_tools(project):
     assert refs.startswith("2 use(s) of Base/run") and "app/main.py:\n  7  calls from main" in refs
     assert t.find_references("LIMIT", 0.99).startswith("nothing uses LIMIT above")
     tree = t.neighbours("main", "out", 2)
-    assert "calls make  lib/util.py:3" in tree and "    uses_type Engine" in tree
+    assert "calls make  lib/util.py:3" in tree and "    calls Engine  lib/core.py:5" in tree
     with pytest.raises(ToolError, match="1 to 3"):
         t.neighbours("main", depth=4)
     assert t.file_outline("./web/user.ts").splitlines()[:3] == ["web/user.ts:", "    1  export interface Named { name: string }", "      1  export interface Named { name: string }"]
