@@ -12,8 +12,9 @@ most cases apart without any text: an anchor hash that occurs once has no repeat
 segments are all alike is repeated throughout. Of the rest, a segment that occurs twice is repeated.
 
 Suffix sort. What is left are segments that occur once but share their anchor hash with other
-segments: the borders of repeated passages. Per anchor hash, the suffixes that start at one distance
-from the anchor are merge-sorted. Suffixes are compared by prefix polynomial hashes: binary search
+segments: the borders of repeated passages. Windows whose polynomial hash occurs once are passed
+over, since equal windows have equal hashes. Of the others, the suffixes that start at one distance
+from the anchor are merge-sorted per anchor hash. Suffixes are compared by prefix polynomial hashes: binary search
 over lengths finds their common extension, and the next byte decides. Neighbours in the order with a
 common extension of `length` bytes are equal windows, which a comparison of the bytes verifies. An
 anchor hash with over `most_in_group` such segments is not gathered. Its windows are taken in
@@ -31,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,6 +45,8 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 #: Distances from the anchor that one row of a large group stands for, coarse to fine.
 STRETCHES = (16, 4)
+#: Bytes of text that one step works on: its arrays, 8 times as long, stay in a core's cache.
+STEP_BYTES = 1 << 17
 
 
 def gram_hashes(body: np.ndarray, gram: int) -> np.ndarray:
@@ -67,25 +69,24 @@ def segments(body: np.ndarray, at: np.ndarray, length: int, gram: int):
         return none
     h = gram_hashes(body, gram)
     span = length - gram + 1  # grams of a window
-    bits = np.uint64(int(len(h)).bit_length())
-    key = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
-    # Least of each `span` neighbours: from blocks' running minima in either direction.
-    blocks = -(-len(key) // span) + 1
-    full = np.full(blocks * span, np.iinfo(np.uint64).max)
-    full[: len(key)] = key
-    rows = full.reshape(blocks, span)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    # Fixed widths of hash and place, so that the order of grams doesn't depend on what else is in the buffer.
+    least = ((h >> np.uint64(32)) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:  # the least of `width` neighbours from each gram on
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
     windows = len(body) - length + 1
-    least = np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    doc = np.repeat(np.arange(len(size)), size)[:windows]
-    start = np.flatnonzero(np.arange(windows) + length <= at[1:][doc])
-    anchor, doc = anchor[start], doc[start]
-    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
+    least = np.minimum(least[:windows], least[span - width : span - width + windows])
+    step = np.zeros(len(body) + 1, np.int8)
+    long = np.flatnonzero(size >= length)
+    step[at[long]] += 1
+    step[at[long + 1] - length + 1] -= 1
+    start = np.flatnonzero(np.cumsum(step[:windows], dtype=np.int8))
+    anchor = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # texts share no anchor
     count = np.diff(np.append(first, len(start)))
-    begin = start[first]
-    return doc[first], begin, count, anchor[first] - begin, h[anchor[first]]
+    begin, anchor = start[first], anchor[first]
+    return np.searchsorted(at, begin, side="right") - 1, begin, count, anchor - begin, h[anchor]
 
 
 class Prefixes:
@@ -99,6 +100,11 @@ class Prefixes:
         with np.errstate(over="ignore"):
             np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
 
+    def hash(self, x: np.ndarray, length: int) -> np.ndarray:
+        """Of the `length` bytes from x on: what `common` compares."""
+        with np.errstate(over="ignore"):
+            return (self.sums[x + length] - self.sums[x]) * self._down[x]
+
     def common(self, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension from x and y on, up to `most`: binary search over lengths."""
         low, high = np.zeros(len(x), np.int64), np.full(len(x), most)
@@ -174,14 +180,12 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, offset: np.ndarray
     distance = offset[owner] - j
     cls = group[owner].astype(np.int64) * (length + 1) + distance
     out = np.zeros(len(owner), bool)
-    arranged = np.argsort(cls, kind="stable")
+    prefixes = Prefixes(body)
+    with np.errstate(over="ignore"):
+        arranged = _several(mix(prefixes.hash(start, length) + cls.astype(np.uint64) * _ODD[0]))
+    arranged = arranged[np.argsort(cls[arranged], kind="stable")]
     c = cls[arranged]
-    edge = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(c)))
-    several = np.repeat(size > 1, size)
-    arranged, c = arranged[several], c[several]
     if len(arranged):
-        prefixes = Prefixes(body)
         order = arranged[sort_suffixes(prefixes, start[arranged], c, length)]
         x, y = order[:-1], order[1:]
         near = c[1:] == c[:-1]
@@ -199,6 +203,18 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, offset: np.ndarray
     return np.split(out, np.cumsum(windows)[:-1])
 
 
+def _several(key: np.ndarray) -> np.ndarray:
+    """Places of the keys that occur more than once, and of few others: those that share a slot of a table."""
+    bits = int(len(key)).bit_length() + 3
+    slot = (key >> np.uint64(64 - bits)).astype(np.int64)
+    last = np.zeros(1 << bits, np.int32)
+    place = np.arange(len(key), dtype=np.int32)
+    last[slot] = place
+    shared = np.zeros(1 << bits, bool)
+    shared[slot[last[slot] != place]] = True
+    return np.flatnonzero(shared[slot])
+
+
 def _same_bytes(body: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
     word = words64(body).copy()
     same = np.ones(len(x), bool)
@@ -229,7 +245,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, most_in_g
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             parts, counts = [], np.zeros(len(batch), np.int64)
-            for first, _, body, at in chunks(batch.column("body")):
+            for first, _, body, at in chunks(batch.column("body"), STEP_BYTES):
                 doc, start, count, offset, h = segments(body, at, length, gram)
                 raw = body.tobytes()
                 ends = start + count + (length - 1)
@@ -284,20 +300,29 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, most_in_g
     pieces = texts.join(needed, ["k1", "k2"]).select("body", "needed").mapInArrow(slices, "grams long, members long, row long, place long, alone boolean, text binary")
     pieces = cut(pieces, "pieces")
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sizes = f["members"].map(len).to_numpy()
-            flat = [m for ms in f["members"] for m in ms]
-            if not flat:
-                continue
-            group = np.repeat(np.arange(len(f)), sizes)
-            place = np.array([m["place"] for m in flat], np.int64)
-            flags = repeated_windows([bytes(m["text"]) for m in flat], (place >> 8) & 255, place & 255, group, length)
-            out = [(m["row"], a, b) for m, p, own in zip(flat, place, flags) if m["alone"] for a, b in _spans(own, int(p >> 16), length)]
-            yield pd.DataFrame(out, columns=["row", "start", "end"]).astype("int64")
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("members")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            row, place = (flat.field(x).to_numpy() for x in ("row", "place"))
+            alone = flat.field("alone").to_numpy(zero_copy_only=False)
+            body, at = buffers(flat.field("text"))
+            raw = body.tobytes()
+            out: list[tuple] = []
+            i = 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(at[ends], at[ends[i]] + STEP_BYTES, side="right")) - 1)
+                own = range(ends[i], ends[j])
+                group = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+                within = place[own.start : own.stop]
+                flags = repeated_windows([raw[at[k] : at[k + 1]] for k in own], (within >> 8) & 255, within & 255, group, length)
+                out += [(row[k], a, b) for k, f in zip(own, flags) if alone[k] and f.any() for a, b in _spans(f, int(place[k] >> 16), length)]
+                i = j
+            columns = np.array(out, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "start", "end"])
 
     cold = pieces.filter(F.col("members") <= most_in_group).groupBy("grams").agg(F.collect_list(F.struct("row", "place", "alone", "text")).alias("members"))
-    cold = cold.select("members").mapInPandas(solve, "row long, start long, end long").select("row", F.struct("start", "end").alias("span"))
+    cold = cold.select("members").mapInArrow(solve, "row long, start long, end long").select("row", F.struct("start", "end").alias("span"))
 
     def stretches(size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +377,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, most_in_g
     hot = hot.unionByName(single)
 
     spans = full.unionByName(cold).unionByName(hot)
-    return spans.join(keys, "row").groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    # Repeated rows have one key and the same spans, which are listed once.
+    return spans.join(keys, "row").groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
