@@ -174,7 +174,8 @@ def keep_first(docs: DataFrame, size: int = 3, most_in_bucket: int = 4096, simil
     Components are of fingerprints that link; with a similarity (p, q), of texts whose shingle sets
     have a Jaccard similarity of p / q or more. No distance of fingerprints can stand for that: at 0.8
     they differ in 10 of 64 bits on average, so that 2 bits miss nearly all and 16 link strangers.
-    Such components are found by `similar.components`, which compares the sets themselves.
+    Such components are found by `similar.components`: linked fingerprints are candidates there, bands
+    of minima give the rest, and the sets themselves decide.
 
     A component without any doc_id keeps one row; repeated rows of the kept doc_id leave one. Extra
     columns are kept, whatever their names are.

@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from symloom.llm import simhash, similar
 
@@ -93,3 +95,19 @@ def test_near_duplicates_stage_links_at_four_fifths(spark):
     far = [*body[:10], "a", *body[11:40], "b", *body[41:70], "c", *body[71:]]  # 81 of 111
     docs = spark.createDataFrame([(i, " ".join(t), "s", "x", 0.0) for i, t in enumerate([body, near, far])], DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_linked_fingerprints_are_candidates(spark, monkeypatch):
+    """Without the bands: the fingerprints alone bring in a pair of 2 differing bits, and the sets decide."""
+    marks = similar._marks_udf
+    monkeypatch.setattr(similar, "_marks_udf", lambda size: lambda body: F.struct(marks(size)(body)["sid"].alias("sid"), F.array().cast("array<long>").alias("keys")))
+    body = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*body[:k], "other", *body[k + 1 :]]) for k in range(300)]
+    own, *others = simhash.fingerprints(pa.array([" ".join(body), *texts], pa.binary()), 5)
+    near = next(t for t, fp in zip(texts, others) if 1 <= int(own ^ fp).bit_count() <= 2)
+    # Equal fingerprints, of sets that have only one of 16 shingles in common: one word makes up nearly all of the text.
+    same = ["x " * 400 + "a b c d e", "x " * 400 + "f g h i j k l m n o"]
+    both = simhash.fingerprints(pa.array(same, pa.binary()), 5)
+    assert both[0] == both[1]
+    docs = spark.createDataFrame([(i, t, "s", "x", 0.0) for i, t in enumerate([" ".join(body), near, *same, "a stranger"])], DOCS)
+    assert sorted(r["doc_id"] for r in kept(docs).collect()) == [0, 2, 3, 4]
