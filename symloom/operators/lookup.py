@@ -140,21 +140,44 @@ def nth_named(symbols: DataFrame, ranks: DataFrame, name: str, n: int) -> DataFr
 def symbols_at(symbols: DataFrame, points: DataFrame) -> DataFrame:
     """points(path, line) -> the symbol there: one declared on the line first, else the innermost that spans it.
 
-    A point meets the symbols of its path whose span covers its line by way of blocks of lines: a span
-    is dealt to the blocks that it touches, a point to its own, so that a join key holds what lies near
-    one block and not a whole file.
+    Spans are not paired with the points inside them: a span is cut into the few aligned blocks (of 1,
+    2, 4, ... lines) that make it up, each block keeps the shortest span that covers it whole, and a
+    point looks up the blocks around it, one of each size. Both sides grow with the spans and the points
+    alone, however many spans lie over one line.
     """
     real = symbols.filter(~F.col("is_synthetic"))
     first, last = F.coalesce("full_start_line", "name_start_line"), F.coalesce("full_end_line", "name_end_line")
-    spanned = real.select("path", "id", "name_start_line", first.alias("first"), last.alias("last"))
-    spanned = spanned.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK_LINES), F.floor(F.col("last") / BLOCK_LINES))))
-    asked = points.select("path", "line").distinct().withColumn("block", F.floor(F.col("line") / BLOCK_LINES))
-    near = asked.join(spanned, ["path", "block"]).filter(F.col("line").between(F.col("first"), F.col("last")))
-    order = F.struct((F.col("name_start_line") != F.col("line")).alias("a"), (F.col("last") - F.col("first")).alias("b"), "id")
-    return near.groupBy("path", "line").agg(F.min(order)["id"].alias("id"))
-
-
-BLOCK_LINES = 64
+    spanned = real.select("path", F.col("name_start_line").alias("at"), first.alias("first"), last.alias("last"), "id").filter("first <= last")
+    # Of equal spans the first counts alone.
+    spanned = spanned.groupBy("path", "at", "first", "last").agg(F.min("id").alias("id"))
+    best = F.min(F.struct((F.col("last") - F.col("first")).alias("length"), "id")).alias("best")
+    declared = spanned.filter(F.col("at").between(F.col("first"), F.col("last"))).groupBy("path", F.col("at").alias("line")).agg(best)
+    blocks = spanned.select("path", "first", "last", "id", F.explode(_blocks(F.col("first"), F.col("last"))).alias("x")).select("path", "x.*", "first", "last", "id")
+    covered = blocks.groupBy("path", "size", "block").agg(best)
+    asked = points.select("path", "line").distinct().filter("line is not null")
+    sizes = F.sequence(F.lit(0), F.lit(MOST_DOUBLINGS))
+    around = asked.select("path", "line", F.explode(sizes).alias("size")).withColumn("block", F.expr("shiftright(line, size)"))
+    inner = around.join(covered, ["path", "size", "block"]).groupBy("path", "line").agg(F.min("best").alias("inner"))
+    found = asked.join(declared, ["path", "line"], "left").join(inner, ["path", "line"], "left")
+    return found.select("path", "line", F.coalesce(F.col("best"), F.col("inner"))["id"].alias("id")).filter("id is not null")
+
+
+#: Lines are 32-bit numbers, so that blocks double so often at most.
+MOST_DOUBLINGS = 31
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """The aligned blocks (size: the power of two of their lines, block: their number) that a span is made of, two of a size at most."""
+    sizes = F.sequence(F.lit(0), F.floor(F.log2((last.cast("long") - first + 1).cast("double"))).cast("int"))
+
+    def of_size(k: Column) -> Column:
+        # The blocks of the size in the span: from low up to high, which is the first one outside.
+        low, high = (F.negate(F.call_function("shiftright", F.negate(first.cast("long")), k)), F.call_function("shiftright", last.cast("long") + 1, k))
+        block = lambda n: F.struct(k.alias("size"), n.cast("int").alias("block"))
+        # Those at the ends that are no half of a block inside the span.
+        return F.array(F.when((low < high) & (low % 2 != 0), block(low)), F.when((low < high) & (high % 2 != 0), block(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(sizes, of_size)))
 
 
 def innermost(scopes: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("path",), width: int = 64, exclude: str | None = None) -> DataFrame:
