@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_private, mention_keys
 from ..schema import EDGE_KINDS, EDGE_WEIGHTS, INHERITANCE, KIND_PRIORS, OTHER_WEIGHT, TIERS, TYPE_LIKE
-from ..session import cut
+from ..session import apart, cut
 from .lookup import navigable, of_kinds
 
 
@@ -136,22 +136,75 @@ MOST_LEVELS = 1000
 def closure(parents: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """parents(child, parent) -> (child, ancestor, depth): the least depth at which each ancestor is reached; cycles end.
 
-    Each round joins the new pairs alone with the parents and drops those that are known, until there
-    are none; pairs beyond `most` levels are an error.
+    Pairs beyond `most` levels are an error. Where no child has two parents, as in containers, chains
+    are doubled; else the pairs are found level by level.
     """
-    parents = parents.select("child", "parent").filter("child <> parent").distinct()
+    parents = cut(parents.select("child", "parent").filter("child <> parent").distinct())
+    if not parents.groupBy("child").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return _closure_by_levels(parents, most)
+    found = _chains(parents.select(F.col("child").alias("id"), F.col("parent").alias("at"), F.array("parent").alias("chain")), most)
+    around = F.array_remove("chain", F.col("id"))
+    return found.select(F.col("id").alias("child"), F.posexplode(around).alias("depth", "ancestor")).select("child", "ancestor", (F.col("depth") + 1).alias("depth"))
+
+
+def _closure_by_levels(parents: DataFrame, most: int) -> DataFrame:
+    """Each round joins the new pairs alone with the parents and drops those that are known, until there are none."""
     frontier = parents.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     seen = frontier
-    step = parents.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
+    step = apart(parents.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
     for d in range(2, most + 2):
         more = frontier.join(step, F.col("ancestor") == F.col("_c")).select("child", F.col("_p").alias("ancestor")).filter("child <> ancestor").distinct()
-        frontier = cut(more.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
+        frontier = cut(more.join(apart(seen.select("child", "ancestor")), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
     raise RuntimeError(f"chains of over {most} levels")
 
 
+def _chains(nodes: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+    """nodes(id, at, chain), one row of an id -> (id, chain): with what follows at `at`, and so on to the end, once each.
+
+    Chains double in each round: what lies beyond a chain is the chain of the id where it goes on, so
+    that a depth of n takes log n rounds. A chain that comes back to itself, on a cycle, is at its end.
+    Chains of over `most` are an error.
+    """
+    now = cut(nodes)
+    ended, active, length = now.filter("at is null"), now.filter("at is not null"), 1
+    while not active.isEmpty():
+        if length > most:
+            raise RuntimeError(f"chains of over {most} levels")
+        beyond = ended.unionByName(active).select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("chain").alias("_chain"))
+        both = active.join(apart(beyond), "at", "left").select("id", "_at", F.concat("chain", F.coalesce("_chain", F.slice("chain", 1, 0))).alias("both")).withColumn("chain", F.array_distinct("both"))
+        now = cut(both.select("id", F.when(F.size("chain") == F.size("both"), F.col("_at")).alias("at"), "chain"))
+        ended, active, length = ended.unionByName(now.filter("at is null")), now.filter("at is not null"), 2 * length
+    if length > most and not ended.filter(F.size("chain") > most).isEmpty():
+        raise RuntimeError(f"chains of over {most} levels")
+    return ended.select("id", "chain")
+
+
+def _single(symbols: DataFrame, *more: Column) -> DataFrame | None:
+    """(id, at, ...): symbols with their container and what else is asked for; None if an id has two."""
+    row = F.struct(F.when(F.col("container_id") != F.col("id"), F.col("container_id")).alias("at"), *more)
+    rows = cut(symbols.groupBy("id").agg(F.min(row).alias("row"), F.max(row).alias("_last")))
+    return rows.select("id", "row.*") if rows.filter("row <> _last").isEmpty() else None
+
+
+def _nearest(nodes: DataFrame) -> DataFrame:
+    """nodes(id, at, stop) -> (id, found, depth): the nearest stop at or above each, and how far it is; without a stop, no row.
+
+    A pointer to the container becomes one to the container's container, and so on, in twice as long
+    steps each round; when a round leaves as many without an end as before, these are on cycles.
+    """
+    stop = F.col("stop")
+    now = cut(nodes.select("id", F.when(~stop, F.col("at")).alias("at"), F.when(stop, F.col("id")).alias("found"), F.when(stop, 0).otherwise(1).alias("depth")))
+    ended, active, open_ = now.filter("at is null"), now.filter("at is not null"), None
+    while (left := active.count()) and left != open_:
+        beyond = ended.unionByName(active).select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("found").alias("_found"), F.col("depth").alias("_depth"))
+        now = cut(active.join(apart(beyond), "at", "left").select("id", F.col("_at").alias("at"), F.col("_found").alias("found"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        ended, active, open_ = ended.unionByName(now.filter("at is null")), now.filter("at is not null"), left
+    return ended.filter("found is not null").select("id", "found", "depth")
+
+
 def container_chain(symbols: DataFrame) -> DataFrame:
     """(id, ancestor, depth): each symbol and the containers around it, itself at depth 0."""
     up = symbols.filter(F.col("container_id").isNotNull()).select(F.col("id").alias("child"), F.col("container_id").alias("parent"))
@@ -159,37 +212,58 @@ def container_chain(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(around)
 
 
+def named_chains(symbols: DataFrame) -> DataFrame | None:
+    """(id, chain of (id, name)): each symbol and the symbols around it, the outermost last; None if an id has two containers or names."""
+    nodes = _single(symbols, F.col("name"))
+    return None if nodes is None else _chains(nodes.select("id", "at", F.array(F.struct("id", "name")).alias("chain")), MOST_LEVELS + 1)
+
+
 def enclosing_types(symbols: DataFrame) -> DataFrame:
     """(id, type_id): the nearest type-like symbol around each symbol, itself included."""
-    types = symbols.filter(F.col("kind").isin(*TYPE_LIKE)).select(F.col("id").alias("ancestor"))
+    own = F.col("kind").isin(*TYPE_LIKE)
+    nodes = _single(symbols, F.coalesce(own, F.lit(False)).alias("stop"))
+    if nodes is not None:
+        return _nearest(nodes).select("id", F.col("found").alias("type_id"))
+    types = symbols.filter(own).select(F.col("id").alias("ancestor"))
     near = container_chain(symbols).join(types, "ancestor")
     return near.groupBy("id").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("type_id"))
 
 
 def descendants(symbols: DataFrame, root: str) -> DataFrame:
-    """Symbols inside one, in the order of the text, with their depth below it: level by level from the root."""
+    """Symbols inside one, in the order of the text, with their depth below it."""
+    nodes = _single(symbols)
+    if nodes is None:
+        seen = _descendants_by_levels(symbols, root)
+    else:
+        # The root is the one stop, if need be one that is no symbol itself.
+        top = symbols.sparkSession.createDataFrame([(root, None)], "id string, at string")
+        seen = _nearest(nodes.filter(F.col("id") != root).unionByName(top).withColumn("stop", F.col("id") == root)).select("id", "depth")
+    return symbols.join(apart(seen.filter("depth > 0")), "id").orderBy("path", "name_start_line", "name_start_char", "id").select("id", "name", "kind", "depth")
+
+
+def _descendants_by_levels(symbols: DataFrame, root: str) -> DataFrame:
     up = symbols.select(F.col("id").alias("child"), F.col("container_id").alias("parent")).filter("parent is not null")
     seen = symbols.sparkSession.createDataFrame([(root, 0)], "id string, depth int")
     frontier = seen
     for d in range(1, MOST_LEVELS + 2):
-        below = frontier.join(up, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
-        frontier = cut(below.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        below = frontier.join(apart(up), F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
+        frontier = cut(below.join(apart(seen.select("id")), "id", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
-            return symbols.join(seen.filter("depth > 0"), "id").orderBy("path", "name_start_line", "name_start_char", "id").select("id", "name", "kind", "depth")
+            return seen
         seen = seen.unionByName(frontier)
     raise RuntimeError(f"chains of over {MOST_LEVELS} levels")
 
 
 def with_ancestors(symbols: DataFrame, chosen: DataFrame) -> DataFrame:
-    """ids of a selection (column id) closed under containers."""
-    up = symbols.select(F.col("id").alias("child"), F.col("container_id").alias("parent")).filter("parent is not null")
-    out = chosen.select("id").distinct()
+    """ids of a selection (column id) closed under containers; each round reads the containers of those alone that are new."""
+    up = cut(symbols.select(F.col("id").alias("child"), F.col("container_id").alias("parent")).filter("parent is not null").distinct())
+    out = fresh = cut(chosen.select("id").distinct())
     for _ in range(MOST_LEVELS + 1):
-        more = out.join(up, F.col("id") == F.col("child")).select(F.col("parent").alias("id"))
-        wider = cut(out.unionByName(more).distinct())
-        if wider.count() == out.count():
-            return wider
-        out = wider
+        more = fresh.join(apart(up), F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
+        fresh = cut(more.join(apart(out), "id", "left_anti"))
+        if fresh.isEmpty():
+            return out
+        out = out.unionByName(fresh)
     raise RuntimeError(f"chains of over {MOST_LEVELS} levels")
 
 

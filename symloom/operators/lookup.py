@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import in_scope
+from ..session import apart
 
 #: Substring search looks at qualified names only from this length of the query on.
 LONG_QUERY = 3
@@ -238,12 +239,14 @@ def name_path_of(name: Column, qualified: Column) -> Column:
 
 def container_paths(symbols: DataFrame) -> DataFrame:
     """id -> names from the outermost container down by the containers themselves, joined by slashes."""
-    from .graph import container_chain
-
-    chain = container_chain(symbols)
-    named = symbols.select(F.col("id").alias("ancestor"), "name")
-    parts = chain.join(named, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("depth"), F.col("name")))).alias("parts"))
-    return parts.select("id", F.array_join(F.transform(F.reverse("parts"), lambda x: x["name"]), "/").alias("name_path"))
+    from .graph import container_chain, named_chains
+
+    chains = named_chains(symbols)
+    if chains is None:
+        named = symbols.select(F.col("id").alias("ancestor"), "name")
+        parts = container_chain(symbols).join(apart(named), "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("depth"), F.col("name")))).alias("chain"))
+        chains = parts.select("id", "chain")
+    return chains.select("id", F.array_join(F.transform(F.reverse("chain"), lambda x: x["name"]), "/").alias("name_path"))
 
 
 name_paths = container_paths

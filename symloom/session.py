@@ -24,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, which outlives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of joins that pair rows where they lie: it grows with the input, so that it never goes through the driver to be broadcast."""
+    return df.hint("merge")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from symloom.operators import graph as G
 from symloom.operators import lookup as L
+from symloom.session import cut
 
 
 def nodes(plan):
@@ -29,3 +31,28 @@ def test_points_are_not_paired_with_the_spans_over_them(spark):
     spans = [(line, first, last, i) for _, i, line, first, last, _ in row]
     assert got == {x: min((at != x, last - first, i) for at, first, last, i in spans if first <= x <= last)[2] for x in range(2 * n)}
     assert most_rows(df) < 100 * n  # pairs of a point and a span around it are n * n
+
+
+def test_chains_double(spark, monkeypatch):
+    """Rounds grow with the logarithm of the depth, and no side of a join goes through the driver."""
+    rows = [(str(i), f"n{i}", "class" if i == 0 else "method", str(i - 1) if i else None) for i in range(70)]
+    rows += [("x", "x", "method", "y"), ("y", "y", "method", "x"), ("z", "z", "method", "x"), ("t", "t", "class", "t"), ("u", "u", "field", "gone"), ("v", "v", "field", "u")]
+    symbols = spark.createDataFrame(rows, "id string, name string, kind string, container_id string").withColumns({"path": L.F.lit("p"), "name_start_line": L.F.lit(0), "name_start_char": L.F.lit(0)})
+    rounds = []
+
+    def counted(df):
+        rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(G, "cut", counted)
+    up = symbols.filter("container_id is not null").select(L.F.col("id").alias("child"), L.F.col("container_id").alias("parent"))
+    deep = {(str(i), str(j), i - j) for i in range(70) for j in range(i)}
+    pairs = deep | {("x", "y", 1), ("y", "x", 1), ("z", "x", 1), ("z", "y", 2), ("u", "gone", 1), ("v", "u", 1), ("v", "gone", 2)}
+    assert {tuple(r) for r in G.closure(up).collect()} == pairs
+    assert {tuple(r) for r in G.closure(up.union(spark.createDataFrame([("z", "69")], up.schema)).filter("child in ('z', '1', '2')")).collect()} == {("z", "x", 1), ("z", "69", 1), ("1", "0", 1), ("2", "1", 1), ("2", "0", 2)}
+    paths = {str(i): "/".join(f"n{j}" for j in range(i + 1)) for i in range(70)} | {"x": "y/x", "y": "x/y", "z": "y/x/z", "t": "t", "u": "u", "v": "u/v"}
+    assert {r["id"]: r["name_path"] for r in L.container_paths(symbols).collect()} == paths
+    assert {tuple(r) for r in G.enclosing_types(symbols).collect()} == {(str(i), "0") for i in range(70)} | {("t", "t")}
+    assert [(r["id"], r["depth"]) for r in G.descendants(symbols, "3").collect()] == sorted((str(i), i - 3) for i in range(4, 70))
+    assert {r["id"]: r["depth"] for r in G.descendants(symbols, "x").collect()} == {"y": 1, "z": 1}
+    assert len(rounds) < 60 and not [p for p in rounds if "BroadcastHashJoin" in p]
