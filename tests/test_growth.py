@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from symloom.operators import graph as G
 from symloom.operators import lookup as L
+from symloom.operators import resolve as R
 from symloom.session import cut
 
 
@@ -56,3 +57,13 @@ def test_chains_double(spark, monkeypatch):
     assert [(r["id"], r["depth"]) for r in G.descendants(symbols, "3").collect()] == sorted((str(i), i - 3) for i in range(4, 70))
     assert {r["id"]: r["depth"] for r in G.descendants(symbols, "x").collect()} == {"y": 1, "z": 1}
     assert len(rounds) < 60 and not [p for p in rounds if "BroadcastHashJoin" in p]
+
+
+def test_pairs_by_name_are_not_gathered(spark):
+    symbols = spark.createDataFrame([(str(i), "n", False, False) for i in range(50)] + [("0", "m", False, False), ("9", "n", False, False)], "id string, name string, is_synthetic boolean, is_local boolean")
+    refs = spark.createDataFrame([("p", n, str(s)) for s in range(20) for n in "mn"], "path string, name string, container_id string")
+    df = R.name_matched(refs, symbols, spark.createDataFrame([], "module_path string, module_id string"))
+    got = [(r["src_id"], r["dst_id"]) for r in df.collect()]
+    assert sorted(got) == sorted({(str(s), str(d)) for s in range(20) for d in range(50) if s != d})
+    shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert max(shuffled) < 200  # of 980 pairs
