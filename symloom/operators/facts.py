@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalise_path
+from ..functions.spans import overlaps
 from ..schema import INHERITANCE, MENTIONS, NAVIGABLE
+from ..session import apart
 
 
 def edge_group(kind: Column) -> Column:
@@ -109,6 +113,37 @@ def _spans_agree(a: tuple, b: tuple, policy: str) -> bool:
     return a0 < b1 and b0 < a1
 
 
+def _columns_agree(a: list[Column], b: list[Column], policy: str) -> Column:
+    """_spans_agree of two spans of four columns each."""
+    if policy == "line":
+        return a[0].eqNullSafe(b[0])
+    if policy == "exact":
+        return reduce(and_, [x.eqNullSafe(y) for x, y in zip(a, b)])
+    ends = lambda s: (F.struct(s[0].alias("line"), s[1].alias("char")), F.struct(s[2].alias("line"), s[3].alias("char")))
+    return overlaps(ends(a), ends(b))
+
+
+def _facts_agree(a: Column, b: Column, prefix: str, targets: bool, policy: str) -> Column:
+    """Whether two facts agree, as match_facts has it."""
+    span = lambda f, p: [f[f"{p}{x}"] for x in SPAN]
+    kinds = a["kind"].isNull() | b["kind"].isNull() | (a["kind"] == b["kind"])
+    agree = kinds & _columns_agree(span(a, prefix), span(b, prefix), policy)
+    if not targets:
+        return agree
+    sides = [(span(a, p), span(b, q)) for p in ("target_", "alternate_") for q in ("target_", "alternate_")]
+    meant = reduce(or_, [x[0].isNotNull() & y[0].isNotNull() & _columns_agree(x, y, policy) for x, y in sides])
+    return agree & a["target_path"].eqNullSafe(b["target_path"]) & meant
+
+
+def _known(side: str, prefix: str, targets: list[str], policy: str) -> Column:
+    """Whether the first fact's spans can be compared by columns: overlap compares every part."""
+    f = F.get(side, F.lit(0))
+    if policy != "overlap":
+        return F.lit(True)
+    whole = lambda p: reduce(and_, [f[f"{p}{x}"].isNotNull() for x in SPAN])
+    return reduce(and_, [whole(prefix), *[whole(p) | f[f"{p}start_line"].isNull() for p in (("target_", "alternate_") if targets else ())]])
+
+
 def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap", prefix: str = "") -> DataFrame:
     """Facts of both sides, one row of each pair or of each fact left alone: status tp, fp or fn, tolerant or not.
 
@@ -152,22 +187,36 @@ def match_facts(candidate: DataFrame, oracle: DataFrame, policy: str = "overlap"
         rows += [(f[key[0]], f[key[1]], "fn", False, None, f["_id"]) for j, f in enumerate(right) if j not in used]
         return rows
 
-    def run(frames):
-        for f in frames:
-            rows = [x for c, o in zip(f["c"], f["o"]) for x in solve(list(c) if c is not None else [], list(o) if o is not None else [])]
-            plain = pd.DataFrame([r[:4] for r in rows], columns=[key[0], key[1], "status", "tolerant"])
-            # The ids are hashes of 64 bits: as floats, which a null among them would make of them, they would lose digits.
-            yield plain.assign(c_id=pd.array([r[4] for r in rows], dtype="Int64"), o_id=pd.array([r[5] for r in rows], dtype="Int64"))
+    # Exact pairs agree on the whole span and the file that is meant, so that these keep apart what cannot meet; nulls in a struct are alike.
+    rest = [*columns[2:5], *(["target_path"] if targets else [])] if policy == "exact" else []
+    place = [*key, *(["_rest"] if rest else [])]
 
     def numbered(df: DataFrame) -> DataFrame:
         with_id = df if "_id" in df.columns else df.withColumn("_id", F.xxhash64(*use))
-        return with_id.select(*use, "_id")
+        return with_id.select(*use, "_id", *([F.struct(*rest).alias("_rest")] if rest else []))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return numbered(df).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*use, "_id"))).alias(name))
-
-    # Many lines to a batch: a line of a file has few facts, and a call of Python for each would cost more than the matching.
-    return side(candidate, "c").join(side(oracle, "o"), key, "full").select("c", "o").mapInPandas(run, out)
+        return numbered(df).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(*use, "_id"))).alias(name))
+
+    both = side(candidate, "c").join(apart(side(oracle, "o")), place, "full").select("c", "o")
+    count = lambda name: F.when(F.col(name).isNull(), 0).otherwise(F.size(name))
+    # Most facts meet nothing or one fact: only where there is a choice is it left to Python, which is given nulls of the others.
+    pair = (count("c") == 1) & (count("o") == 1)
+    plain = (count("c") == 0) | (count("o") == 0) | (pair & _known("c", prefix, targets, policy) & _known("o", prefix, targets, policy))
+    fields = [x.split() for x in out.split(", ")]
+
+    def row(f: Column, status: str, tolerant: Column, c_id: Column, o_id: Column) -> Column:
+        return F.struct(*[x.cast(t).alias(n) for x, (n, t) in zip((f[key[0]], f[key[1]], F.lit(status), tolerant, c_id, o_id), fields)])
+
+    no, none = F.lit(False), F.lit(None)
+    c, o = F.get("c", F.lit(0)), F.get("o", F.lit(0))
+    exact, agree = (_facts_agree(c, o, prefix, bool(targets), how) for how in ("exact", policy))
+    every = lambda name: F.coalesce(F.col(name), F.array().cast(both.schema[name].dataType))
+    alone = F.concat(F.transform(every("c"), lambda f: row(f, "fp", no, f["_id"], none)), F.transform(every("o"), lambda f: row(f, "fn", no, none, f["_id"])))
+    told = F.when(pair & (exact | agree), F.array(row(c, "tp", ~exact, c["_id"], o["_id"]))).otherwise(alone)
+    choose = F.udf(lambda c, o: solve(c, o) if c is not None else None, f"array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>", useArrow=True)  # a choice has facts on both sides
+    chosen = choose(F.when(~plain, F.col("c")), F.when(~plain, F.col("o")))
+    return both.select(F.explode(F.coalesce(chosen, F.when(plain, told))).alias("x")).select("x.*")
 
 
 def by_path(matched: DataFrame, path: str = "path") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+from symloom.operators import facts as E
 from symloom.operators import graph as G
 from symloom.operators import lookup as L
 from symloom.operators import resolve as R
@@ -59,6 +62,25 @@ def test_chains_double(spark, monkeypatch):
     assert len(rounds) < 60 and not [p for p in rounds if "BroadcastHashJoin" in p]
 
 
+def test_single_facts_are_matched_without_python(spark):
+    kinds = "path string, start_line int, start_char int, end_line int, end_char int, kind string"
+    r = random.Random(5)
+    fact = lambda: (r.choice(["a", "b", None]), r.choice([*range(40), None]), (x := r.randint(0, 3)), 1 if r.random() < 0.1 else None, x + r.randint(0, 3), r.choice(["k", "l", None]))
+    c, o = (spark.createDataFrame([fact() for _ in range(150)], kinds).distinct() for _ in range(2))
+    for policy in ("exact", "line"):
+        left, right = (sorted(df.collect(), key=str) for df in (c, o))
+        near = [[j for j, b in enumerate(right) if None not in a[:2] and a[:2] == b[:2] and (policy == "line" or a[2:5] == b[2:5]) and (a[5] is None or b[5] is None or a[5] == b[5])] for a in left]
+        df = E.match_facts(c, o, policy)
+        got = [r["status"] for r in df.collect()]
+        hits = sum(x >= 0 for x in E.maximum_matching(near, len(right)))
+        assert (got.count("tp"), got.count("fp"), got.count("fn")) == (hits, len(left) - hits, len(right) - hits)
+    one = spark.range(2000).select(L.F.lit("a").alias("path"), L.F.col("id").cast("int").alias("start_line"), *[L.F.lit(x).alias(y) for x, y in ((0, "start_char"), (1, "end_line"), (2, "end_char"), ("k", "kind"))])
+    df = E.match_facts(one, one, "exact")
+    assert {r["status"] for r in df.collect()} == {"tp"}
+    sent = [n.metrics().apply("pythonDataSent").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.metrics().contains("pythonDataSent")]
+    assert sum(sent) < 40 * 2000  # a fact alone takes over 40 bytes
+
+
 def test_pairs_by_name_are_not_gathered(spark):
     symbols = spark.createDataFrame([(str(i), "n", False, False) for i in range(50)] + [("0", "m", False, False), ("9", "n", False, False)], "id string, name string, is_synthetic boolean, is_local boolean")
     refs = spark.createDataFrame([("p", n, str(s)) for s in range(20) for n in "mn"], "path string, name string, container_id string")
