@@ -52,7 +52,7 @@ def personalisation(symbols: DataFrame, focus: Iterable[str] = (), boost: float
     return raw.crossJoin(F.broadcast(total)).select("id", even.alias("r"))  # one row of totals
 
 
-#: Graphs of at most so many nodes and edges are walked in arrays on the driver; larger ones by joins, with the same result.
+#: Graphs of at most so many nodes and edges are walked in arrays on the driver; larger ones in blocks on the executors, with the same result.
 MOST_LOCAL = 4_000_000
 
 
@@ -63,7 +63,7 @@ def pagerank(symbols: DataFrame, weights: DataFrame, focus: Iterable[str] = (),
     weights = cut(weights)
     if start.count() + weights.count() <= most_local:
         return _walk_in_arrays(start, weights, damping, steps, tolerance)
-    return _walk_by_joins(start, weights, damping, steps, tolerance)
+    return _walk_in_blocks(start, weights, damping, steps, tolerance)
 
 
 def _walk_in_arrays(start: DataFrame, weights: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
@@ -83,21 +83,122 @@ def _walk_in_arrays(start: DataFrame, weights: DataFrame, damping: float, steps:
     return start.sparkSession.createDataFrame(pa.table({"id": ids, "score": x}))
 
 
-def _walk_by_joins(start: DataFrame, weights: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
-    """A step is one join and one aggregation over tables that are partitioned alike; its state is a table of its own, so that plans do not grow."""
-    total = weights.groupBy("src").agg(F.sum("w").alias("total"))
-    moves = cut(weights.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
-    # Nodes that nothing leaves give their mass back to the start weights.
-    inner = total.select(F.col("src").alias("id"), F.lit(0.0).alias("ends"))
-    now = cut(start.join(inner, "id", "left").select("id", "r", F.coalesce("ends", F.lit(1.0)).alias("ends"), F.col("r").alias("x"), F.lit(None).cast("double").alias("before")))
+#: Nodes in a block (as many as a step holds at a time), and edges in a packed row.
+BLOCK_NODES, CHUNK_EDGES = 100_000, 500_000
+
+
+def _walk_in_blocks(start: DataFrame, weights: DataFrame, damping: float, steps: int, tolerance: float) -> DataFrame:
+    """Nodes are numbered in the order of their ids, in blocks; a row holds the vectors of a block, or some edges out of one.
+
+    A step joins a block's row with the rows of its edges, sums what these give to each node, and adds
+    it up by block: only packed numbers move, and near ids, which edges often join, share what they send.
+    """
+    total = weights.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("total"))
+    nodes = start.join(apart(total), "id", "left").select("id", "r", F.coalesce("total", F.lit(0.0)).alias("total"))
+    spread = cut(nodes).repartitionByRange(-(-start.count() // BLOCK_NODES) or 1, "id").sortWithinPartitions("id")
+    # The number tells the partition in its upper bits, and the place in it in its lower 33.
+    numbered = cut(spread.withColumn("n", F.monotonically_increasing_id())).select("id", "r", "total", F.shiftright("n", 33).cast("int").alias("b"), F.col("n").bitwiseAND((1 << 33) - 1).cast("int").alias("pos"))
+    at = lambda end: numbered.select(F.col("id").alias(end), F.col("b").alias(f"{end}_b"), F.col("pos").alias(f"{end}_pos"))
+    placed = weights.join(apart(at("src")), "src").join(apart(at("dst")), "dst").select("src_b", "src_pos", "dst_b", "dst_pos", "w")
+    moves = cut(placed.repartition("src_b").sortWithinPartitions("src_b", "dst_b", "dst_pos", "src_pos").mapInArrow(_pack_edges, "src_b int, src_pos binary, dst_b binary, dst_pos binary, code binary, w binary"))
+    # loose: what lies on nodes that nothing leaves, and goes back to the start weights.
+    now = cut(numbered.select("b", "pos", "r", "total").mapInArrow(_pack_nodes, _STATE))
     for _ in range(steps):
-        loose, change = now.agg(F.coalesce(F.sum(F.col("x") * F.col("ends")), F.lit(0.0)), F.sum(F.abs(F.col("x") - F.col("before")))).first()
-        if change is not None and change < tolerance:
+        loose, change = now.agg(F.sum("loose"), F.sum("change")).first()
+        if loose is None or (change is not None and change < tolerance):
             break
-        flow = now.join(moves, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("flow"))
-        value = F.lit(1 - damping + damping * loose) * F.col("r") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))
-        now = cut(now.join(flow, F.col("id") == F.col("dst"), "left").select("id", "r", "ends", value.alias("x"), F.col("x").alias("before")))
-    return now.select("id", F.col("x").alias("score"))
+        given = moves.join(apart(now.select(F.col("b").alias("src_b"), "share")), "src_b").mapInArrow(_give, "b int, pos binary, flow binary")
+        empty, none = [F.lit(None).cast("binary").alias(c) for c in ("x", "r", "total")], [F.lit(None).cast("binary").alias(c) for c in ("pos", "flow")]
+        both = given.select("b", "pos", "flow", *empty).unionByName(now.select("b", *none, "x", "r", "total"))
+        now = cut(both.groupBy("b").applyInArrow(_taken(damping, 1 - damping + damping * loose), _STATE))
+    scores = now.select("b", "x").mapInArrow(_unpack, "b int, pos int, score double")
+    return numbered.select("id", "b", "pos").join(apart(scores), ["b", "pos"]).select("id", "score")
+
+
+_STATE = "b int, x binary, r binary, total binary, share binary, loose double, change double"
+
+
+def _table(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+
+
+def _numbers(value: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal keys."""
+    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    return list(zip(cuts[:-1], cuts[1:])) if len(keys) else []
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterable[dict[str, np.ndarray]]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if most is not None and n >= most:
+            yield {c: x.to_numpy() for c, x in zip(batch.schema.names, pa.Table.from_batches(held).columns)}
+            held, n = [], 0
+    if n:
+        yield {c: x.to_numpy() for c, x in zip(held[0].schema.names, pa.Table.from_batches(held).columns)}
+
+
+def _pack_edges(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    schema = [("src_b", pa.int32()), *[(c, pa.binary()) for c in ("src_pos", "dst_b", "dst_pos", "code", "w")]]
+    for t in _gathered(batches, CHUNK_EDGES):
+        for i, j in _runs(t["src_b"]):
+            values, code = np.unique(t["w"][i:j], return_inverse=True)
+            ints = [t[c][i:j].astype("<i4").tobytes() for c in ("src_pos", "dst_b", "dst_pos")]
+            # Weights are told by their number among those in the row, which takes fewer bytes; which ones follows from the length.
+            yield _table(schema, [(int(t["src_b"][i]), *ints, code.astype("<u2" if len(values) <= 1 << 16 else "<u4").tobytes(), values.astype("<f8").tobytes())])
+
+
+def _state(b: int, x: np.ndarray, r: np.ndarray, total: np.ndarray, change: float | None) -> pa.RecordBatch:
+    schema = [("b", pa.int32()), *[(c, pa.binary()) for c in ("x", "r", "total", "share")], ("loose", pa.float64()), ("change", pa.float64())]
+    share = np.divide(x, total, out=np.zeros(len(x)), where=total != 0)
+    return _table(schema, [(b, x.tobytes(), r.tobytes(), total.tobytes(), share.tobytes(), float(x[total == 0].sum()), change)])
+
+
+def _pack_nodes(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for t in _gathered(batches):
+        for i, j in _runs(t["b"]):
+            r = t["r"][i:j].astype("<f8")
+            yield _state(int(t["b"][i]), r, r, t["total"][i:j].astype("<f8"), None)
+
+
+def _give(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            src, block, pos, code, w, share = (batch[c][k] for c in ("src_pos", "dst_b", "dst_pos", "code", "w", "share"))
+            src, block, pos, w = _numbers(src, "<i4"), _numbers(block, "<i4"), _numbers(pos, "<i4"), _numbers(w, "<f8")
+            code = _numbers(code, "<u2" if len(code.as_buffer()) == 2 * len(src) else "<u4")
+            first = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(pos) != 0)])
+            flow = np.add.reduceat(_numbers(share, "<f8")[src] * w[code], first)
+            rows += [(int(block[first[i]]), pos[first[i:j]].tobytes(), flow[i:j].tobytes()) for i, j in _runs(block[first])]
+        yield _table([("b", pa.int32()), ("pos", pa.binary()), ("flow", pa.binary())], rows)
+
+
+def _taken(damping: float, anew: float):
+    def take(t: pa.Table) -> pa.Table:
+        state = next(k for k in range(t.num_rows) if t["x"][k].is_valid)
+        x, r, total = (_numbers(t[c][state], "<f8") for c in ("x", "r", "total"))
+        flow = np.zeros(len(x))
+        for pos, part in zip(t["pos"], t["flow"]):
+            if pos.is_valid:
+                flow[_numbers(pos, "<i4")] += _numbers(part, "<f8")
+        value = anew * r + damping * flow
+        return pa.Table.from_batches([_state(t["b"][state].as_py(), value, r, total, float(np.abs(value - x).sum()))])
+
+    return take
+
+
+def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        for b, x in zip(batch["b"], batch["x"]):
+            score = _numbers(x, "<f8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), b.as_py(), "<i4")), pa.array(np.arange(len(score), dtype="<i4")), pa.array(score)], names=["b", "pos", "score"])
 
 
 def ranked(symbols: DataFrame, weights: DataFrame, scores: DataFrame) -> DataFrame:

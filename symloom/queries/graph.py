@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..schema import EDGE_WEIGHTS, KIND_PRIORS, OTHER_WEIGHT
+from ..session import cut
 from .base import query, rounded
 
 _W = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EDGE_WEIGHTS.items()) + f" ELSE {OTHER_WEIGHT} END"
@@ -55,7 +56,7 @@ def pagerank_focus_k10(t):
 
 @query()
 def pagerank_converged(t):
-    weights = G.graph_weights(t.symbols, t.edges)
+    weights = cut(G.graph_weights(t.symbols, t.edges))  # the walk and the degrees read it
     return G.ranked(t.symbols, weights, G.pagerank(t.symbols, weights)).select("symbol_id", rounded("score", 5), "in_degree")
 
 

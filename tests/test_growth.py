@@ -89,3 +89,26 @@ def test_pairs_by_name_are_not_gathered(spark):
     assert sorted(got) == sorted({(str(s), str(d)) for s in range(20) for d in range(50) if s != d})
     shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
     assert max(shuffled) < 200  # of 980 pairs
+
+
+def test_walks_move_packed_blocks(spark, monkeypatch):
+    n = 120
+    start = [(str(i), "n", "class" if i % 3 else "method", "p", "", False, False) for i in range(n)]
+    symbols = spark.createDataFrame(start, "id string, name string, kind string, path string, signature string, is_local boolean, is_synthetic boolean")
+    r = random.Random(2)
+    weights = spark.createDataFrame(sorted({(str(r.randrange(n - 9)), str(r.randrange(n))): r.choice([1.0, 0.5, r.random()]) for _ in range(500)}.items()), "k struct<src: string, dst: string>, w double").select("k.*", "w")
+    want = dict(G.pagerank(symbols, weights, iterations=3).collect())
+    rows = []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    for nodes_, edges in ((100_000, 500_000), (50, 90)):
+        monkeypatch.setattr(G, "BLOCK_NODES", nodes_, raising=False)
+        monkeypatch.setattr(G, "CHUNK_EDGES", edges, raising=False)
+        got = dict(G.pagerank(symbols, weights, iterations=3, most_local=0).collect())
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert max(rows[-3:]) <= 3  # rows of a step: blocks, not nodes
