@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tokens import CHARS_PER_TOKEN, estimate, estimate_text
+from ..session import apart
 
 
 def running_total(df: DataFrame, cost: Column, order: list, bucket_keys: list[str] | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ class Entry:
 def pool(symbols: DataFrame, ranks: DataFrame, budget: int, least_score: float = 0.0, files: int | None = None) -> DataFrame:
     """The best 4 x budget navigable symbols: no line costs less than a token, so more can't matter."""
     own = symbols.filter(~F.col("is_synthetic") & ~F.col("is_local")).select("id", "path", "name", "kind", "container_id", F.coalesce("signature", "name").alias("signature"), F.col("name_start_line").alias("line"))
-    scored = own.join(ranks.select(F.col("symbol_id").alias("id"), "score"), "id").filter(F.col("score") >= least_score)
+    scored = own.join(apart(ranks.select(F.col("symbol_id").alias("id"), "score")), "id").filter(F.col("score") >= least_score)
     scored = top_files(scored, files) if files else scored
     return scored.orderBy(F.desc("score"), "path", "line", "id").limit(4 * budget)
 

@@ -8,6 +8,8 @@ from symloom.operators import facts as E
 from symloom.operators import graph as G
 from symloom.operators import lookup as L
 from symloom.operators import resolve as R
+from symloom.operators import select as S
+from symloom.queries.base import Tables
 from symloom.session import cut
 
 
@@ -112,3 +114,11 @@ def test_walks_move_packed_blocks(spark, monkeypatch):
         got = dict(G.pagerank(symbols, weights, iterations=3, most_local=0).collect())
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
         assert max(rows[-3:]) <= 3  # rows of a step: blocks, not nodes
+
+
+def test_symbols_are_not_broadcast(spark):
+    """The joins with a row for each symbol, as planned for tables of any size."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (S.pool(t.symbols, t.ranks, 100),):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
