@@ -9,6 +9,7 @@ from symloom.operators import graph as G
 from symloom.operators import lookup as L
 from symloom.operators import resolve as R
 from symloom.operators import select as S
+from symloom.queries import resolution
 from symloom.queries.base import Tables
 from symloom.session import cut
 
@@ -119,6 +120,7 @@ def test_walks_move_packed_blocks(spark, monkeypatch):
 def test_symbols_are_not_broadcast(spark):
     """The joins with a row for each symbol, as planned for tables of any size."""
     t = Tables(spark, "/root/testdata/sf0.001")
-    for df in (S.pool(t.symbols, t.ranks, 100),):
+    refs, _, _, imports, _ = resolution._tables(t)
+    for df in (refs, imports, S.pool(t.symbols, t.ranks, 100)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
